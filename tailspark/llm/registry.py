@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from tailspark.llm.decontamination import op3_decontamination
 from tailspark.llm.simhash import op6_simhash_near_dedup
+from tailspark.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict:
     return {
         "op3_decontamination": op3_decontamination,
+        "op5_toxicity": op5_toxicity,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
     }
 
