@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tailspark.llm.decontamination import op3_decontamination
+from tailspark.llm.packing import op9_best_fit_packing
 from tailspark.llm.simhash import op6_simhash_near_dedup
 from tailspark.llm.toxicity import op5_toxicity
 
@@ -12,6 +13,7 @@ def queries() -> dict:
         "op3_decontamination": op3_decontamination,
         "op5_toxicity": op5_toxicity,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
