@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tailspark.llm.decontamination import op3_decontamination
 from tailspark.llm.packing import op9_best_fit_packing
+from tailspark.llm.pii import op10_pii
 from tailspark.llm.simhash import op6_simhash_near_dedup
 from tailspark.llm.toxicity import op5_toxicity
 
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op5_toxicity": op5_toxicity,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_pii": op10_pii,
     }
 
 
