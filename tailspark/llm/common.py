@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,23 +45,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, name: str = "state") -> DataFrame:
-    """Materialise ``df`` so that later reads survive the loss of an executor.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, shared by driver and executors.
 
-    Writes a checkpoint to the folder that ``spark.checkpoint.dir`` names (shared by driver
-    and executors on a cluster).  Only where no folder is named, as in local tests, one below
-    the warehouse is used.
+    Only where no folder is named, as in local tests, one below the warehouse is used.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so that later reads survive the loss of an executor."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(_shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it again."""
+    path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def lower_ascii(col):
     """Lower-cases A-Z only, as the contracts ask (``lower`` would change other letters too)."""
     return F.translate(col, UPPER, LOWER)

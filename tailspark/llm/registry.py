@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tailspark.llm.decontamination import op3_decontamination
+from tailspark.llm.neighbours import op4_nearest_neighbours
 from tailspark.llm.packing import op9_best_fit_packing
 from tailspark.llm.pii import op10_pii
 from tailspark.llm.simhash import op6_simhash_near_dedup
@@ -12,14 +14,17 @@ from tailspark.llm.toxicity import op5_toxicity
 def queries() -> dict:
     return {
         "op3_decontamination": op3_decontamination,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_toxicity": op5_toxicity,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_pii": op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from tailspark.llm import oracles
 
-    return {k: v for k, v in oracles.SQL.items() if k in queries()}
+    more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {k: v for k, v in oracles.SQL.items() if k in queries()} | more

@@ -113,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minimum labels spread over edges and then jump along the labels themselves, so the number
     of rounds grows with the logarithm of a chain's length.  State is checkpointed each round.
     """
-    both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
