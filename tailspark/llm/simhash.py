@@ -110,20 +110,28 @@ def links(distinct: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reachable.
 
-    Minimum labels spread over edges and then jump along the labels themselves, so the number
-    of rounds grows with the logarithm of a chain's length.  State is checkpointed each round.
+    Each round points every node at its smallest neighbour, follows the pointers to their
+    roots by doubling, and contracts the edges to edges between roots.  Edges within a root
+    go, so the work of later rounds shrinks at least by half each time.
     """
-    both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        step = settle(spread)
-        up = step.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        jumped = settle(step.join(up, step["root"] == up["via"], "left").select("node", F.least("root", "far").alias("root"), "old"))
-        labels = jumped.select("node", "root")
-        if not jumped.filter("root <> old").limit(1).count():
-            return labels
+    edges = settle(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    known = None
+    while edges.limit(1).count():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root")))
+        while True:
+            far = up.select(F.col("node").alias("via"), F.col("root").alias("far"))
+            step = settle(up.join(far, up["root"] == far["via"]).select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+            up = step.select("node", "root")
+            if not step.filter("moved").limit(1).count():
+                break
+        here = up.select(F.col("node").alias("at"), F.col("root").alias("to"))
+        known = up if known is None else settle(known.join(here, known["root"] == here["at"], "left").select("node", F.coalesce("to", "root").alias("root")))
+        left = edges.join(here, edges["a"] == here["at"]).select(F.col("to").alias("a"), "b")
+        other = up.select(F.col("node").alias("at2"), F.col("root").alias("to2"))
+        joined = left.join(other, left["b"] == other["at2"]).select("a", F.col("to2").alias("b")).filter("a <> b")
+        edges = settle(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if known is None else known
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -144,7 +152,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = member.join(least, "root").join(degree, F.col("fp") == degree["node"]).select("fp", "component_id", "n_links")
     alone = distinct.join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return prints.join(linked.unionByName(alone).withColumnRenamed("fp", "own"), F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id", "n_links")
+    classes = settle(linked.unionByName(alone).withColumnRenamed("fp", "own"))
+    return prints.join(classes, F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id", "n_links")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
