@@ -445,3 +445,61 @@ SQL["q_winkler"] = (
     + "SELECT series_id, round(hi - lo + 40 * CASE WHEN m < lo THEN lo - m WHEN m > hi THEN m - hi ELSE 0 END, 6) AS score, m BETWEEN lo AND hi AS covered, round(hi - lo, 6) AS width "
     "FROM (SELECT series_id, avg(value) AS m, quantile_cont(value, 0.4) AS lo, quantile_cont(value, 0.5) AS hi FROM s GROUP BY 1)"
 )
+
+# -- scoring, screening, tables -------------------------------------------------------------
+
+_LABELS = ["disjoint_median_ols", "disjoint_median_fgls", "disjoint_mean_ols", "disjoint_mean_fgls"]
+_RESULTS = (
+    "r0 AS (SELECT event_type AS family, user_id, avg(value) / 100 AS xi_hat, quantile_cont(value, 0.25) / 100 AS ci_lo, quantile_cont(value, 0.75) / 100 AS ci_hi, count(*) AS n_obs FROM events GROUP BY 1, 2), "
+    f"r1 AS (SELECT 'universal' AS benchmark_set, family, CASE WHEN user_id % 2 = 0 THEN 0.3 ELSE 0.6 END::DOUBLE AS xi_true, 0.5::DOUBLE AS theta_true, ({_LABELS})[(user_id // 2) % 4 + 1] AS method, user_id AS rep, n_obs, xi_hat, ci_lo, ci_hi FROM r0), "
+    "re AS (SELECT *, xi_hat - xi_true AS signed_error, abs(xi_hat - xi_true) AS abs_error, abs(xi_hat - xi_true) / xi_true AS relative_error, xi_true BETWEEN ci_lo AND ci_hi AS covered, ci_hi - ci_lo AS interval_width, "
+    "ci_hi - ci_lo + 40 * CASE WHEN xi_true < ci_lo THEN ci_lo - xi_true WHEN xi_true > ci_hi THEN xi_true - ci_hi ELSE 0 END AS interval_score FROM r1)"
+)
+SQL["q_benchmark_errors"] = _with(_RESULTS) + "SELECT benchmark_set, family, method, rep, n_obs, covered, " + ", ".join(
+    f"round({c}, 6) + 0.0 AS {c}" for c in ("xi_true", "theta_true", "xi_hat", "ci_lo", "ci_hi", "signed_error", "abs_error", "relative_error", "interval_width", "interval_score")
+) + " FROM re"
+_SUMMARY = (
+    "sm AS (SELECT family, xi_true, method, count(DISTINCT rep) AS n_rep, count(*) FILTER (WHERE covered) AS n_cover, avg(covered::INT) AS coverage, avg(relative_error) AS mape, quantile_cont(relative_error, 0.5) AS relative_error_median, "
+    "quantile_cont(relative_error, 0.25) AS relative_error_q25, quantile_cont(interval_width, 0.5) AS w, quantile_cont(interval_score, 0.5) AS sc, avg(interval_score) AS interval_score_mean, quantile_cont(interval_score, 0.75) AS interval_score_q75, coalesce(stddev_samp(xi_hat), 0) AS sd FROM re GROUP BY 1, 2, 3)"
+)
+_WILSON = "(coverage + 3.8416 / (2 * n_rep) {sign} 1.96 * sqrt(coverage * (1 - coverage) / n_rep + 3.8416 / (4 * n_rep * n_rep))) / (1 + 3.8416 / n_rep)"
+SQL["q_benchmark_summary"] = (
+    _with(_RESULTS, _SUMMARY)
+    + f"SELECT family, round(xi_true, 6) AS xi_true, method, replace(method, '_', '-') AS method_label, CAST(list_position({_LABELS}, method) - 1 AS INTEGER) AS method_order, n_rep, n_cover, round(coverage, 6) AS coverage, "
+    f"round(greatest({_WILSON.format(sign='-')}, 0), 6) AS coverage_lo, round(least({_WILSON.format(sign='+')}, 1), 6) AS coverage_hi, round(mape, 6) AS mape, round(relative_error_median, 6) AS relative_error_median, round(relative_error_q25, 6) AS relative_error_q25, "
+    "round(interval_score_mean, 6) AS interval_score_mean, round(interval_score_q75, 6) AS interval_score_q75, round(sd / sqrt(n_rep), 6) AS xi_hat_se FROM sm"
+)
+SQL["q_story_pivot"] = (
+    _with(_RESULTS, _SUMMARY)
+    + "SELECT family, "
+    + ", ".join(f"max(CASE WHEN method = '{m}' THEN t END) AS {m}" for m in _LABELS)
+    + " FROM (SELECT family, method, printf('%.2f [%.2f, %.2f]', quantile_cont(relative_error_median, 0.5), quantile_cont(relative_error_median, 0.25), quantile_cont(relative_error_median, 0.75)) AS t FROM sm GROUP BY 1, 2) GROUP BY 1"
+)
+SQL["q_interval_sharpness"] = (
+    _with(_RESULTS, _SUMMARY)
+    + "SELECT family, method, round(median(w), 6) AS width, round(median(coverage), 6) AS coverage, round(median(sc), 6) AS score FROM (SELECT * FROM sm WHERE method LIKE '%ols' UNION ALL SELECT * FROM sm WHERE method LIKE '%fgls') GROUP BY 1, 2"
+)
+SQL["q_rank_candidates"] = (
+    "SELECT state_code, site_no, recommended, support, plateau_points, round(xi_lo, 6) AS xi_lo, n_years, CAST(row_number() OVER (PARTITION BY state_code ORDER BY recommended DESC, support DESC, plateau_points DESC, n_years DESC, xi_lo DESC, user_id) AS INTEGER) AS rank FROM ("
+    "SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'TX' ELSE 'FL' END AS state_code, CAST(user_id AS VARCHAR) AS site_no, count(*) > 60 AS recommended, round(avg(value), 3) > 50 AS support, count(*) AS plateau_points, round(avg(value), 3) AS xi_lo, "
+    "CAST(date_diff('day', min(ts)::DATE, max(ts)::DATE) AS INTEGER) AS n_years FROM events GROUP BY 1)"
+)
+SQL["q_stream_daily"] = (
+    "SELECT event_type AS series_id, CAST(ts AS DATE) AS ts, round(max(value), 6) AS value, count(*) AS n FROM events GROUP BY 1, 2 HAVING CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 7 DAY FROM events)"
+)
+_SCREEN_VALUES = (
+    _DAYS,
+    _FILLED,
+    "v AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos, value FROM filled WHERE value > 0)",
+    _grid("v"),
+    f"cdf AS (SELECT series_id, pos, least(greatest(f, 1e-8), 1 - 1e-8) AS f FROM {_ECDF.format(src='v')})",
+)
+_KGAPS = SQL["q_kgaps"].split("kg AS", 1)[1].rsplit("SELECT series_id, round(tau, 6)", 1)[0]
+SQL["q_screen_ei"] = (
+    _with(*_SCREEN_VALUES, _path("bb", True), _STABLE, _EXC)
+    + ", kg AS"
+    + _KGAPS
+    + ", bb AS (SELECT r.series_id, exp(-avg(p.z)) AS theta, any_value(r.window_lo) AS lo, any_value(r.window_hi) AS hi FROM rk r JOIN p ON r.series_id = p.series_id AND p.i >= r.start AND p.i < r.stop WHERE r.rank = 1 GROUP BY 1) "
+    "SELECT f.series_id, f.n_obs, round(f.ps, 6) AS positive_share, round(f.zs, 6) AS zero_share, round(bb.theta, 6) AS theta_bb, round(k3.theta, 6) AS theta_kg, bb.lo AS stable_lo, bb.hi AS stable_hi, f.years >= 5 AND bb.lo > 0 AND k3.theta IS NOT NULL AS recommended "
+    "FROM (SELECT series_id, count(*) AS n_obs, avg((value > 0)::INT) AS ps, avg((value = 0)::INT) AS zs, (max(ts) - min(ts)) / 365.25 AS years FROM filled GROUP BY 1) f LEFT JOIN bb ON f.series_id = bb.series_id LEFT JOIN k3 ON f.series_id = k3.series_id"
+)

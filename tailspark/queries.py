@@ -339,3 +339,135 @@ def q_winkler(spark, d):
     n = events(spark, d, "user_id").groupBy("series_id").agg(F.avg("value").alias("m"), F.percentile("value", F.lit(0.4)).alias("lo"), F.percentile("value", F.lit(0.5)).alias("hi"))
     score = intervals.winkler(F.col("m"), F.col("lo"), F.col("hi"))
     return rounded(n.select("series_id", score.alias("score"), intervals.contains(F.col("lo"), F.col("hi"), F.col("m")).alias("covered"), intervals.width(F.col("lo"), F.col("hi")).alias("width")))
+
+
+# -- scoring, screening, tables -------------------------------------------------------------
+
+
+def _results(spark, d):
+    """Replicate-level results made from the events: one per event type and user."""
+    from tailspark.operators import score
+
+    g = table(spark, d, "events").groupBy("event_type", "user_id").agg(
+        (F.avg("value") / 100).alias("xi_hat"), (F.percentile("value", F.lit(0.25)) / 100).alias("ci_lo"), (F.percentile("value", F.lit(0.75)) / 100).alias("ci_hi"), F.count("*").alias("n_obs")
+    )
+    names = F.array(*(F.lit(m[0]) for m in score.METHODS))
+    rows = g.select(
+        F.lit("universal").alias("benchmark_set"), F.col("event_type").alias("family"), F.when(F.col("user_id") % 2 == 0, 0.3).otherwise(0.6).alias("xi_true"), F.lit(0.5).alias("theta_true"),
+        F.lit(None).cast("double").alias("phi"), F.element_at(names, (F.floor(F.col("user_id") / 2) % 4 + 1).cast("int")).alias("method"), F.col("user_id").alias("rep"), "n_obs", "xi_hat", "ci_lo", "ci_hi",
+    )
+    return score.errors(rows)
+
+
+@query
+def q_benchmark_errors(spark, d):
+    return rounded(_results(spark, d).drop("phi"))
+
+
+@query
+def q_benchmark_summary(spark, d):
+    from tailspark.operators import score
+
+    s = score.labelled(score.summary(_results(spark, d)), score.methods(spark))
+    keep = ["family", "xi_true", "method", "method_label", "method_order", "n_rep", "n_cover", "coverage", "coverage_lo", "coverage_hi", "mape", "relative_error_median", "relative_error_q25", "interval_score_mean", "interval_score_q75", "xi_hat_se"]
+    return rounded(s.select(*keep))
+
+
+@query
+def q_story_pivot(spark, d):
+    from tailspark.operators import score
+
+    s = score.labelled(score.summary(_results(spark, d)), score.methods(spark))
+    order = [m[1] for m in score.METHODS[:4]]
+    out = score.story(s, ["family"], "relative_error_median", order)
+    return out.select("family", *(F.col(f"`{c}`").alias(c.replace("-", "_")) for c in order))
+
+
+@query
+def q_interval_sharpness(spark, d):
+    from tailspark.operators import score
+
+    s = score.summary(_results(spark, d))
+    return rounded(score.sharpness(s.filter("method LIKE '%ols'"), s.filter("method LIKE '%fgls'"), ["family"]))
+
+
+@query
+def q_rank_candidates(spark, d):
+    from tailspark.operators import score
+
+    u = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("plateau_points"), F.round(F.avg("value"), 3).alias("xi_lo"), F.datediff(F.max("ts"), F.min("ts")).alias("n_years"))
+    frame = u.select(
+        F.when(F.col("user_id") % 3 == 0, "TX").otherwise("FL").alias("state_code"), F.col("user_id").cast("string").alias("site_no"), (F.col("plateau_points") > 60).alias("recommended"), (F.col("xi_lo") > 50).alias("support"),
+        "plateau_points", "xi_lo", "n_years",
+    )
+    return rounded(score.ranked(frame))
+
+
+@query
+def q_screen_ei(spark, d):
+    from tailspark.operators import screen
+
+    out = screen.persistence_screen(series.zero_filled(order_days(spark, d)), min_years=5)
+    return rounded(out.select("series_id", "n_obs", "positive_share", "zero_share", "theta_bb", "theta_kg", "stable_lo", "stable_hi", "recommended"))
+
+
+# -- resampling, simulation, streaming: held against plain NumPy in the tests ----------------
+
+
+@query
+def q_evi_fgls(spark, d):
+    from tailspark.operators import resample
+
+    return resample.estimate(events(spark, d), reps=120, seed=7)
+
+
+@query
+def q_bootstrap_cov(spark, d):
+    from tailspark.operators import resample
+
+    e = events(spark, d)
+    return resample.bootstrap_covariance(e, grid_table(e), reps=60)
+
+
+@query
+def q_ei_fgls(spark, d):
+    from tailspark.operators import resample
+
+    e = events(spark, d)
+    rows = persistence.stable(persistence.path(persistence.prepared(e), "northrop", True))
+    return resample.ei_fgls(e, rows, "northrop", True, reps=60)
+
+
+@query
+def q_screen_evi(spark, d):
+    from tailspark.operators import screen
+
+    return screen.severity_screen(status_days(spark, d), min_years=5)
+
+
+@query
+def q_monte_carlo(spark, d):
+    """Tail estimators on simulated series of known truth, scored."""
+    from tailspark.operators import score, simulate
+
+    table_ = simulate.scenarios(spark, ("frechet_max_ar",), (0.3, 1.0), (0.5, 1.0), reps=5)
+    rows = simulate.simulate(table_)
+    ids = rows.select("series_id", "scenario", "rep").distinct()
+    found = tail.hill(rows.select("series_id", "pos", "value")).join(ids, "series_id").join(table_.drop("reps", "seed"), "scenario")
+    return score.summary(score.errors(found.withColumnsRenamed({"xi": "xi_hat", "xi_lo": "ci_lo", "xi_hi": "ci_hi"})))
+
+
+@query
+def q_stream_daily(spark, d):
+    """Closed days of the event stream, read as a stream to its present end."""
+    import uuid
+
+    from tailspark.streaming.maintain import daily_maxima
+
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    days = daily_maxima(stream.select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "value"))
+    name = f"daily_{uuid.uuid4().hex}"
+    run = days.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.table(name).select("series_id", "ts", "value", "n"))
