@@ -18,7 +18,8 @@ def _geometric(lo: Column, hi: Column, steps: Column) -> Column:
 def block_sizes(n: Column, min_blocks: int = MIN_BLOCKS) -> Column:
     """Block sizes for n observations (null below 32)."""
     n = n.cast("double")
-    lo = F.greatest(F.lit(5.0), F.ceil(F.pow(n, 0.2)).cast("double"))
+    # the double 0.2 lies above one fifth: an exact fifth power's root counts as just above a whole number
+    lo = F.greatest(F.lit(5.0), F.ceil(F.pow(n, 0.2) * (1 + 1e-15)).cast("double"))
     hi = F.greatest(lo + 4, F.least(F.floor(F.pow(n, 0.55)), F.floor(n / max(min_blocks, 1))).cast("double"))
     steps = F.least(F.lit(32.0), F.greatest(F.lit(10.0), hi - lo + 1)).cast("int")
     return F.when(n >= 32, F.filter(_geometric(lo, hi, steps), lambda b: b > 1))
