@@ -503,3 +503,9 @@ SQL["q_screen_ei"] = (
     "SELECT f.series_id, f.n_obs, round(f.ps, 6) AS positive_share, round(f.zs, 6) AS zero_share, round(bb.theta, 6) AS theta_bb, round(k3.theta, 6) AS theta_kg, bb.lo AS stable_lo, bb.hi AS stable_hi, f.years >= 5 AND bb.lo > 0 AND k3.theta IS NOT NULL AS recommended "
     "FROM (SELECT series_id, count(*) AS n_obs, avg((value > 0)::INT) AS ps, avg((value = 0)::INT) AS zs, (max(ts) - min(ts)) / 365.25 AS years FROM filled GROUP BY 1) f LEFT JOIN bb ON f.series_id = bb.series_id LEFT JOIN k3 ON f.series_id = k3.series_id"
 )
+
+SQL["q_ei_window_variants"] = (
+    _with(*_SCREEN_VALUES, _path("northrop", True), _STABLE)
+    + "SELECT series_id, rank, window_lo, window_hi, round(exp(-z), 6) AS theta, round(exp(-(z + 1.96 * se)), 6) AS theta_lo, round(exp(-(z - 1.96 * se)), 6) AS theta_hi FROM ("
+    "SELECT r.series_id, CAST(r.rank AS INTEGER) AS rank, r.window_lo, r.window_hi, avg(p.z) AS z, stddev_samp(p.z) / sqrt(count(*)) AS se FROM rk r JOIN p ON r.series_id = p.series_id AND p.i >= r.start AND p.i < r.stop WHERE r.rank <= 3 GROUP BY ALL)"
+)

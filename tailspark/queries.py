@@ -471,3 +471,35 @@ def q_stream_daily(spark, d):
     run = days.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return rounded(spark.table(name).select("series_id", "ts", "value", "n"))
+
+
+@query
+def q_ei_window_variants(spark, d):
+    from tailspark.plans import application
+
+    days = series.zero_filled(order_days(spark, d))
+    return rounded(application.window_sensitivity(days))
+
+
+@query
+def q_evi_factorial(spark, d):
+    """All twelve severity methods on every event type."""
+    from tailspark.plans import benchmark
+
+    return benchmark.evi_factorial(events(spark, d), reps=40)
+
+
+@query
+def q_ei_methods(spark, d):
+    """All twelve persistence methods on every event type."""
+    from tailspark.plans import benchmark
+
+    return benchmark.ei_methods(events(spark, d), reps=20)
+
+
+@query
+def q_application_summary(spark, d):
+    from tailspark.plans import application
+
+    days = status_days(spark, d)
+    return application.summary(days, days, reps=40)
