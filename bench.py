@@ -46,6 +46,7 @@ def main() -> None:
             if k:
                 own.append(time.time() - began)
         times[name] = round(statistics.median(own), 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline queries, sum of medians", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": Path(folder).name}))
     spark.stop()
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tailspark.contracts import TINY, Z_95
 from tailspark.functions import intervals
 from tailspark.functions.grid import grid_table
-from tailspark.operators import select, windows
+from tailspark.operators import kernels, select, windows
 from tailspark.series import compress
 
 PATHS = tuple((base, is_sliding) for base in ("northrop", "bb") for is_sliding in (False, True))
@@ -37,10 +37,13 @@ def statistics(values: DataFrame, grid: DataFrame, base: str, is_sliding: bool)
     return minima.select("series_id", "b", (F.col("b") * F.col("m")).alias("s"))
 
 
-def path(values: DataFrame, base: str, is_sliding: bool, grid: DataFrame | None = None) -> DataFrame:
-    """(series_id, base_path, sliding, b, n_stat, mean_stat, theta, eir, z) of prepared values."""
+def path(values: DataFrame, base: str, is_sliding: bool, grid: DataFrame | None = None, engine: str | None = None) -> DataFrame:
+    """(series_id, base_path, sliding, b, n_stat, mean_stat, theta, eir, z) of prepared values; ``engine`` as for curves."""
     grid = grid_table(values) if grid is None else grid
-    stat = statistics(values, grid, base, is_sliding).groupBy("series_id", "b").agg(F.count("*").alias("n_stat"), F.avg("s").alias("mean_stat"))
+    if engine == "arrow" or (engine is None and is_sliding and kernels.fits(values)):
+        stat = kernels.path_means(values, grid, base, is_sliding)
+    else:
+        stat = statistics(values, grid, base, is_sliding).groupBy("series_id", "b").agg(F.count("*").alias("n_stat"), F.avg("s").alias("mean_stat"))
     if base == "northrop":
         eir = F.greatest("mean_stat", F.lit(1.0))
         theta = 1 / eir

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tailspark.contracts import DAYS_PER_YEAR, PLATEAU_POINTS, TAU, Z_95
 from tailspark.functions.arrays import mean, total
 from tailspark.functions.grid import grid_table
-from tailspark.operators import curves, select, windows
+from tailspark.operators import curves, select
 
 
 def ols(windows: DataFrame) -> DataFrame:
@@ -81,8 +81,7 @@ def shared_tau(series: DataFrame, taus: list[float], headline: float = TAU, is_s
     are kept for the two uses.
     """
     grid = grid_table(series)
-    maxima = windows.on_grid(series, grid, is_sliding)
-    rows = curves.quantiles_by_rank(maxima, ["series_id", "b"], sorted({*taus, headline})).filter("value > 0").persist()
+    rows = curves.quantile_curves(series, grid, sorted({*taus, headline}), is_sliding).filter("value > 0").persist()
     fits = ols(select.plateau(curves.positive_points(rows.filter(F.col("tau") == headline).withColumn("is_positive", F.lit(True)))))
     kept = fits.select("series_id", "xi", F.explode("part.b").alias("b"))
     met = rows.filter(F.col("tau").isin(taus)).join(kept, ["series_id", "b"])

@@ -250,3 +250,17 @@ def test_gamma_expression(spark):
 def test_order_is_kept_by_compress(make_series):
     assert rows(series.compress(make_series(a=[None, 3, 0, -1, 2])), "pos", "value") == [(0, 3.0), (1, 2.0)]
     assert rows(series.compress(make_series(a=[None, 3, 0, -1, 2]), zeros=True), "value") == [(0.0,), (2.0,), (3.0,)]
+
+
+@pytest.mark.parametrize("is_sliding", [True, False])
+def test_engines_agree(make_series, is_sliding):
+    x = [None if i % 50 == 7 else v for i, v in enumerate(pareto(700, 2.0, 2))]
+    s = make_series(a=x, b=pareto(90, 1.0, 3), c=[1.0, 2.0])
+    grid = grid_table(s)
+    for target in ("quantile", "mean"):
+        a, b = (rows(curves.curve(s, grid, is_sliding, target, 0.7, e), "series_id", "b", "n_blocks", "value") for e in ("native", "arrow"))
+        assert [r[:3] for r in a] == [r[:3] for r in b] and [r[3] for r in a] == pytest.approx([r[3] for r in b])
+    v = persistence.prepared(s)
+    for base in ("northrop", "bb"):
+        a, b = (rows(persistence.path(v, base, is_sliding, engine=e), "series_id", "b", "n_stat", "z") for e in ("native", "arrow"))
+        assert [r[:3] for r in a] == [r[:3] for r in b] and [r[3] for r in a] == pytest.approx([r[3] for r in b])
