@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 256
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -33,12 +37,13 @@ def words(data: bytes | None) -> list[bytes]:
     return data.translate(WORD_TABLE).split() if data else []
 
 
-def utf8(column) -> list[bytes | None]:
-    """A string Arrow column as UTF-8 bytes, without decoding."""
+def utf8(column) -> Iterator[bytes | None]:
+    """A string Arrow column as UTF-8 bytes, without decoding, a few hundred rows at a time."""
     import pyarrow as pa
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return column.cast(kind).to_pylist()
+    for at in range(0, len(column), SLICE):
+        yield from column.slice(at, SLICE).cast(kind).to_pylist()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

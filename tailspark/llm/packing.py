@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailspark.llm.common import settle, table
+from tailspark.llm.common import settle, table, utf8
 
 LENGTH = 1_024
 END = 2
@@ -101,8 +101,8 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, length: int = LENGTH,
         encode = _encoder(tokenizer, pattern).encode
         for batch in batches:
             row, piece, start, size, crc, ids = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                data = (encode(text) if text else b"") + end
+            for k, raw in enumerate(utf8(batch.column(1))):
+                data = (encode(raw.decode()) if raw else b"") + end
                 n = len(data) // 4
                 s, e = 0, n % length or min(n, length)
                 number = 0
