@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tailspark.contracts import contract_ok
 from tailspark.functions.grid import grid_table
-from tailspark.operators import curves, persistence, resample, score, select, severity, simulate, tail, windows
+from tailspark.operators import curves, persistence, resample, score, select, severity, simulate, tail
 
 #: Shrinkage and record-length grids of the sensitivity tables.
 SHRINKAGES = (0.0, 0.2, 0.35, 0.5, 0.75, 1.0)
@@ -22,15 +22,14 @@ def stack(parts: list[DataFrame]) -> DataFrame:
 
 
 def evi_factorial(series: DataFrame, tau: float = 0.5, reps: int = resample.REPS, seed: int = 7, schemes=("disjoint", "sliding"), targets=("median", "mean", "mode")) -> DataFrame:
-    """Scheme x target x regression: maxima once per scheme, curve and plateau once per scheme and target."""
+    """Scheme x target x regression: curve and plateau once per scheme and target."""
     grid = grid_table(series)
     out = []
     for scheme in schemes:
         is_sliding = scheme == "sliding"
-        maxima = windows.on_grid(series, grid, is_sliding).persist()
         for target in targets:
             kind = "quantile" if target == "median" else target
-            points = curves.positive_points(curves.curve_of(maxima, grid, kind, tau)).persist()
+            points = curves.positive_points(curves.curve(series, grid, is_sliding, kind, tau)).persist()
             ols = severity.ols(select.plateau(points))
             fgls = resample.fgls(series, ols, points, reps, seed, kind, tau, is_sliding)
             out.append(ols.withColumns({"method": F.lit(f"{scheme}_{target}_ols"), "ci_variant": F.lit("ols")}).select(*_ROW))
