@@ -51,11 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, shared by driver and executors.
+    """The folder that ``spark.checkpoint.dir`` names (or the session has set), shared by driver and executors.
 
     Only where no folder is named, as in local tests, one below the warehouse is used.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 

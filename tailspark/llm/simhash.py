@@ -164,7 +164,7 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = near_duplicates(docs, shingle)
     keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     unnamed = docs.filter(F.col("doc_id").isNull())
-    return docs.join(keep, docs["doc_id"] == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    return docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
