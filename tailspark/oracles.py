@@ -456,7 +456,7 @@ _RESULTS = (
     "ci_hi - ci_lo + 40 * CASE WHEN xi_true < ci_lo THEN ci_lo - xi_true WHEN xi_true > ci_hi THEN xi_true - ci_hi ELSE 0 END AS interval_score FROM r1)"
 )
 SQL["q_benchmark_errors"] = _with(_RESULTS) + "SELECT benchmark_set, family, method, rep, n_obs, covered, " + ", ".join(
-    f"round({c}, 6) + 0.0 AS {c}" for c in ("xi_true", "theta_true", "xi_hat", "ci_lo", "ci_hi", "signed_error", "abs_error", "relative_error", "interval_width", "interval_score")
+    f"round({c}, 9) + 0.0 AS {c}" for c in ("xi_true", "theta_true", "xi_hat", "ci_lo", "ci_hi", "signed_error", "abs_error", "relative_error", "interval_width", "interval_score")
 ) + " FROM re"
 _SUMMARY = (
     "sm AS (SELECT family, xi_true, method, count(DISTINCT rep) AS n_rep, count(*) FILTER (WHERE covered) AS n_cover, avg(covered::INT) AS coverage, avg(relative_error) AS mape, quantile_cont(relative_error, 0.5) AS relative_error_median, "
@@ -465,9 +465,9 @@ _SUMMARY = (
 _WILSON = "(coverage + 3.8416 / (2 * n_rep) {sign} 1.96 * sqrt(coverage * (1 - coverage) / n_rep + 3.8416 / (4 * n_rep * n_rep))) / (1 + 3.8416 / n_rep)"
 SQL["q_benchmark_summary"] = (
     _with(_RESULTS, _SUMMARY)
-    + f"SELECT family, round(xi_true, 6) AS xi_true, method, replace(method, '_', '-') AS method_label, CAST(list_position({_LABELS}, method) - 1 AS INTEGER) AS method_order, n_rep, n_cover, round(coverage, 6) AS coverage, "
-    f"round(greatest({_WILSON.format(sign='-')}, 0), 6) AS coverage_lo, round(least({_WILSON.format(sign='+')}, 1), 6) AS coverage_hi, round(mape, 6) AS mape, round(relative_error_median, 6) AS relative_error_median, round(relative_error_q25, 6) AS relative_error_q25, "
-    "round(interval_score_mean, 6) AS interval_score_mean, round(interval_score_q75, 6) AS interval_score_q75, round(sd / sqrt(n_rep), 6) AS xi_hat_se FROM sm"
+    + f"SELECT family, round(xi_true, 9) AS xi_true, method, replace(method, '_', '-') AS method_label, CAST(list_position({_LABELS}, method) - 1 AS INTEGER) AS method_order, n_rep, n_cover, round(coverage, 9) AS coverage, "
+    f"round(greatest({_WILSON.format(sign='-')}, 0), 9) AS coverage_lo, round(least({_WILSON.format(sign='+')}, 1), 9) AS coverage_hi, round(mape, 9) AS mape, round(relative_error_median, 9) AS relative_error_median, round(relative_error_q25, 9) AS relative_error_q25, "
+    "round(interval_score_mean, 9) AS interval_score_mean, round(interval_score_q75, 9) AS interval_score_q75, round(sd / sqrt(n_rep), 9) AS xi_hat_se FROM sm"
 )
 SQL["q_story_pivot"] = (
     _with(_RESULTS, _SUMMARY)
@@ -477,7 +477,7 @@ SQL["q_story_pivot"] = (
 )
 SQL["q_interval_sharpness"] = (
     _with(_RESULTS, _SUMMARY)
-    + "SELECT family, method, round(median(w), 6) AS width, round(median(coverage), 6) AS coverage, round(median(sc), 6) AS score FROM (SELECT * FROM sm WHERE method LIKE '%ols' UNION ALL SELECT * FROM sm WHERE method LIKE '%fgls') GROUP BY 1, 2"
+    + "SELECT family, method, round(median(w), 9) AS width, round(median(coverage), 9) AS coverage, round(median(sc), 9) AS score FROM (SELECT * FROM sm WHERE method LIKE '%ols' UNION ALL SELECT * FROM sm WHERE method LIKE '%fgls') GROUP BY 1, 2"
 )
 SQL["q_rank_candidates"] = (
     "SELECT state_code, site_no, recommended, support, plateau_points, round(xi_lo, 6) AS xi_lo, n_years, CAST(row_number() OVER (PARTITION BY state_code ORDER BY recommended DESC, support DESC, plateau_points DESC, n_years DESC, xi_lo DESC, user_id) AS INTEGER) AS rank FROM ("

@@ -361,7 +361,7 @@ def _results(spark, d):
 
 @query
 def q_benchmark_errors(spark, d):
-    return rounded(_results(spark, d).drop("phi"))
+    return rounded(_results(spark, d).drop("phi"), 9)
 
 
 @query
@@ -370,7 +370,7 @@ def q_benchmark_summary(spark, d):
 
     s = score.labelled(score.summary(_results(spark, d)), score.methods(spark))
     keep = ["family", "xi_true", "method", "method_label", "method_order", "n_rep", "n_cover", "coverage", "coverage_lo", "coverage_hi", "mape", "relative_error_median", "relative_error_q25", "interval_score_mean", "interval_score_q75", "xi_hat_se"]
-    return rounded(s.select(*keep))
+    return rounded(s.select(*keep), 9)
 
 
 @query
@@ -388,7 +388,7 @@ def q_interval_sharpness(spark, d):
     from tailspark.operators import score
 
     s = score.summary(_results(spark, d))
-    return rounded(score.sharpness(s.filter("method LIKE '%ols'"), s.filter("method LIKE '%fgls'"), ["family"]))
+    return rounded(score.sharpness(s.filter("method LIKE '%ols'"), s.filter("method LIKE '%fgls'"), ["family"]), 9)
 
 
 @query
