@@ -36,6 +36,8 @@ MIN_EVIDENCE = 15.0
 MIN_TOXIC = 3
 NEIGHBOURS = 15
 BLOCK = 128
+#: Entries that a Python worker remembers: words, scores, counts.
+ROUTES, CACHED, FLUSH = 50_000, 5_000, 150_000
 _BEGINNINGS = (4, 5, 6, 7)
 
 
@@ -92,7 +94,7 @@ class Model:
         for word, n in counts.items():
             route = self.routes.get(word)
             if route is None:
-                if len(self.routes) > 200_000:
+                if len(self.routes) > ROUTES:
                     self.routes.clear()
                 route = self.routes[word] = [f for x in expand(word) if (f := self.vocab.get(x)) is not None]
             for f in route:
@@ -156,7 +158,7 @@ class Model:
             return self.blank, []
         key = (fs.tobytes(), ws.tobytes())
         if key not in self.cache:
-            if len(self.cache) > 20_000:
+            if len(self.cache) > CACHED:
                 self.cache.clear()
             raw, best, sims = self.vote(fs, ws)
             if len(self.steps[0]):
@@ -185,7 +187,7 @@ def _counts(sample: DataFrame) -> DataFrame:
             for data, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 for f in {x for w in features(data) for x in expand(w)}:
                     both.setdefault(f, [0, 0])[toxic] += 1
-                if len(both) > 300_000:
+                if len(both) > FLUSH:
                     yield flush()
         yield flush()
 
@@ -223,7 +225,7 @@ def _document_frequency(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.nd
                 for w in set(data.decode().lower().encode().translate(WORD_TABLE).split()) if data else ():
                     route = routes.get(w)
                     if route is None:
-                        if len(routes) > 200_000:
+                        if len(routes) > ROUTES:
                             routes.clear()
                         route = routes[w] = [f for x in expand(w) if (f := known.get(x)) is not None]
                     if route:
