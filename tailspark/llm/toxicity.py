@@ -1,16 +1,16 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Features are words and word beginnings.  A vocabulary is chosen from a bounded sample of
-labelled rows by the log-likelihood ratio of a feature's presence with label 1; inverse
-document frequencies are counted over *all* documents.  Labelled examples are indexed by
-feature, in blocks, with the largest weight of each feature in each block.  A query adds up
-these maxima to bound every block's best cosine, visits blocks from the highest bound down
-and stops when the bound falls below the k-th best cosine found: the neighbours are exact.
-Votes are weighted by similarity and calibrated by isotonic regression of leave-one-out
-votes on the examples.
-
-Scale: the model is bounded by ``MAX_EXAMPLES`` x ``MAX_FEATURES`` and is broadcast;
-documents stream past it twice (frequencies, scores) and are never shuffled.
+Features are all words of the labelled examples.  Evidence (the log-likelihood ratio of a
+feature's presence with label 1) is a factor of a word's weight and leaves none out; beginnings
+of words, which are no words of the text, join where they have evidence of their own.  Inverse
+document frequencies are counted over *all* documents.  A query's cosines with all examples are
+summed up in single precision, frequent features by a matrix product and the others along their
+lists; whatever may belong to the nearest is summed up again in double precision: the
+neighbours are exact.  Votes are weighted by similarity and calibrated by isotonic regression
+of leave-one-out votes on the examples.
+
+Scale: the model is bounded by the words of ``MAX_EXAMPLES`` texts and is broadcast; documents
+stream past it twice (frequencies, scores) and are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,18 @@ from pyspark.sql import functions as F
 
 from tailspark.llm.common import WORD_TABLE, settle, table, utf8
 
-#: Bound on the labelled rows that the classifier is fitted on, and on its vocabulary.
+#: Bound on the labelled rows that the classifier is fitted on.
 MAX_EXAMPLES = 20_000
-MAX_FEATURES = 4_096
 #: Bound on the examples whose leave-one-out votes calibrate the score.
 MAX_CALIBRATION = 4_000
+#: Evidence at which a word has about half of the full weight, and that a beginning needs; the weight of words without any.
 MIN_EVIDENCE = 15.0
-MIN_TOXIC = 3
+PLAIN = 0.1
 NEIGHBOURS = 15
-BLOCK = 128
-#: Entries that a Python worker remembers: words, scores, counts.
-ROUTES, CACHED, FLUSH = 50_000, 5_000, 150_000
+#: Features that are multiplied as a matrix, queries at a time, and the bound on what single precision may be off by, twice.
+HEAD, QUERIES, MARGIN = 512, 64, 1e-4
+#: Entries that a Python worker remembers: scores, counts, occurrences.
+CACHED, FLUSH, PENDING = 5_000, 150_000, 1_000_000
 _BEGINNINGS = (4, 5, 6, 7)
 
 
@@ -57,9 +59,18 @@ def _sketch(data: bytes | None) -> int:
     return min((xxhash.xxh3_64_intdigest(b" ".join(ws[i : i + 3])) for i in range(max(1, len(ws) - 2))), default=0) >> 1
 
 
+def _starts(vocab: dict[bytes, int]) -> set[bytes]:
+    """First bytes of the words that some beginning in the vocabulary may fit."""
+    return {x[1 : 1 + _BEGINNINGS[0]] for x in vocab if x[:1] == b"^"}
+
+
+def _beginnings(word: bytes, vocab: dict[bytes, int]) -> list[int]:
+    return [f for x in expand(word)[1:] if (f := vocab.get(x)) is not None]
+
+
 @dataclass
 class Model:
-    """Block-max index over the examples, and the calibration of its votes."""
+    """Weights of the features, unit vectors of the examples, and the calibration of their votes."""
 
     vocab: dict[bytes, int]
     idf: np.ndarray
@@ -70,80 +81,125 @@ class Model:
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
 
     def __post_init__(self) -> None:
-        n_blocks = max(1, -(-len(self.labels) // BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
-        for e, (fs, ws) in enumerate(self.vectors):
-            for f, w in zip(fs.tolist(), ws.tolist(), strict=True):
-                lists[f].append((e, w))
-        self.example = np.array([e for x in lists for e, _ in x], dtype=np.int64)
-        self.weight = np.array([w for x in lists for _, w in x], dtype=np.float64)
-        self.at = np.zeros((len(lists), n_blocks + 1), dtype=np.int64)
-        self.most = np.zeros((len(lists), n_blocks))
-        base = 0
-        for f, x in enumerate(lists):
-            own = np.array([e for e, _ in x], dtype=np.int64)
-            self.at[f] = base + np.searchsorted(own, np.arange(n_blocks + 1) * BLOCK)
-            np.maximum.at(self.most[f], own // BLOCK, np.array([w for _, w in x]))
-            base += len(x)
+        self.first = np.concatenate(([0], np.cumsum([len(fs) for fs, _ in self.vectors], dtype=np.int64))).astype(np.int64)
+        self.feature = np.concatenate([np.zeros(0, np.int32), *(fs for fs, _ in self.vectors)]).astype(np.int32)
+        self.value = np.concatenate([np.zeros(0), *(ws for _, ws in self.vectors)]).astype(np.float64)
+        self.vectors = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at = self.starts = None
         self.cache: dict = {}
-        self.routes: dict[bytes, list[int]] = {}
+
+    def __getstate__(self) -> dict:
+        """What is broadcast; each reader makes its own lists."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("at", "starts", "cache", "df", "head", "place", "example", "weight", "scratch")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def _index(self) -> None:
+        """Matrix of the most frequent features, lists of the others."""
+        n, v = len(self.labels), len(self.vocab)
+        self.df = np.bincount(self.feature, minlength=v)
+        often = np.argsort(-self.df, kind="stable")[:HEAD]
+        self.place = np.full(v, -1, dtype=np.int32)
+        self.place[often] = np.arange(len(often))
+        own = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
+        column = self.place[self.feature]
+        self.head = np.zeros((n, len(often)), dtype=np.float32)
+        self.head[own[column >= 0], column[column >= 0]] = self.value[column >= 0]
+        rest = np.flatnonzero(column < 0)
+        rest = rest[np.argsort(self.feature[rest], kind="stable")]
+        self.example, self.weight = own[rest], self.value[rest].astype(np.float32)
+        self.at = np.concatenate(([0], np.cumsum(np.where(self.place < 0, self.df, 0))))
+        self.scratch = np.zeros(v)
+
+    def example_vector(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.feature[self.first[e] : self.first[e + 1]], self.value[self.first[e] : self.first[e + 1]]
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector over the vocabulary: feature numbers in order, and weights."""
-        found: dict[int, int] = {}
-        for word, n in counts.items():
-            route = self.routes.get(word)
-            if route is None:
-                if len(self.routes) > ROUTES:
-                    self.routes.clear()
-                route = self.routes[word] = [f for x in expand(word) if (f := self.vocab.get(x)) is not None]
-            for f in route:
-                found[f] = found.get(f, 0) + n
-        fs = np.array(sorted(found), dtype=np.int64)
-        ws = (1 + np.log(np.array([found[f] for f in fs.tolist()], dtype=np.float64))) * self.idf[fs] if len(fs) else np.zeros(0)
+        if self.starts is None:
+            self.starts = _starts(self.vocab)
+        get, starts, cut = self.vocab.get, self.starts, _BEGINNINGS[0]
+        found = {f: n for word, n in counts.items() if (f := get(word)) is not None}
+        if starts:
+            for word, n in counts.items():
+                if word[:cut] in starts:
+                    for f in _beginnings(word, self.vocab):
+                        found[f] = found.get(f, 0) + n
+        fs, ns = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
+        order = np.argsort(fs)
+        fs = fs[order]
+        ws = (1 + np.log(ns[order])) * self.idf[fs]
         return fs, ws / np.sqrt((ws * ws).sum()) if len(fs) else ws
 
     def search(self, fs: np.ndarray, ws: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine (ties: smaller number first), exactly."""
-        bound = ws @ self.most[fs]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, score = np.zeros(0, dtype=np.int64), np.zeros(0)
-        done, step = 0, 4
-        while done < len(order):
-            if len(best) >= k and bound[order[done]] < score[k - 1] * (1 - 1e-12):
-                break
-            blocks = order[done : done + step]
-            done, step = done + step, step * 2
-            starts = self.at[fs][:, blocks].ravel()
-            sizes = (self.at[fs][:, blocks + 1].ravel()) - starts
-            total = int(sizes.sum())
-            if not total:
+        return self.search_all([(fs, ws)], k, [without])[0]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.at is None:
+            self._index()
+        n, h = self.head.shape
+        if not n:
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(queries)
+        rows = np.zeros((len(queries), h), dtype=np.float32)
+        for row, (fs, ws) in zip(rows, queries, strict=True):
+            own = self.place[fs]
+            row[own[own >= 0]] = ws[own >= 0]
+        about = rows @ self.head.T
+        out = []
+        for near, (fs, ws), skip in zip(about, queries, without, strict=True):
+            lists = (self.place[fs] < 0) & (self.at[fs + 1] > self.at[fs])
+            begin, end = self.at[fs[lists]], self.at[fs[lists] + 1]
+            if len(begin):
+                parts = [slice(*x) for x in zip(begin.tolist(), end.tolist(), strict=True)]
+                weights = np.concatenate([self.weight[x] for x in parts]) * np.repeat(ws[lists].astype(np.float32), end - begin)
+                near += np.bincount(np.concatenate([self.example[x] for x in parts]), weights=weights, minlength=n)
+            if skip >= 0:
+                near[skip] = 0
+            least = float(np.partition(near, n - k)[n - k]) - MARGIN if n > k else 0.0
+            some = np.flatnonzero(near >= least if least > 0 else near > 0)
+            if not len(some):
+                out.append((some, np.zeros(0)))
                 continue
-            at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(total)
-            parts = self.weight[at] * np.repeat(np.repeat(ws, len(blocks)), sizes)
-            own, where = np.unique(self.example[at], return_inverse=True)
-            sums = np.bincount(where, weights=parts)
-            if without >= 0:
-                own, sums = own[own != without], sums[own != without]
-            best, score = np.concatenate((best, own)), np.concatenate((score, sums))
-            top = np.lexsort((best, -score))[:k]
-            best, score = best[top], score[top]
-        return best, score
-
-    def vote(self, fs: np.ndarray, ws: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+            self.scratch[fs] = ws
+            sizes = self.first[some + 1] - self.first[some]
+            heads = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            at = np.repeat(self.first[some] - heads, sizes) + np.arange(int(sizes.sum()))
+            exact = np.add.reduceat(self.value[at] * self.scratch[self.feature[at]], heads)
+            self.scratch[fs] = 0
+            top = np.lexsort((some, -exact))[:k]
+            out.append((some[top], exact[top]))
+        return out
+
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """Similarity-weighted share of label 1 among the neighbours, shrunk by one blank vote, and the neighbours."""
-        best, score = self.search(fs, ws, NEIGHBOURS, without)
-        w = score * score
-        prior = 0.05
-        return float((w @ self.labels[best] + prior * self.blank) / (w.sum() + prior)), best, score
-
-    def calibrate(self) -> None:
+        out, prior = [], 0.05
+        for best, score in self.search_all(queries, NEIGHBOURS, without or [-1] * len(queries)):
+            w = score * score
+            out.append((float((w @ self.labels[best] + prior * self.blank) / (w.sum() + prior)), best, score))
+        return out
+
+    def left_out(self, examples: list[int]) -> list[float]:
+        """Votes on examples as if they were no examples: words of their own only are unknown then."""
+        if self.at is None:
+            self._index()
+        queries = []
+        for e in examples:
+            fs, ws = self.example_vector(e)
+            known = self.df[fs] > 1
+            fs, ws = fs[known], ws[known]
+            queries.append((fs, ws / np.sqrt((ws * ws).sum()) if len(fs) else ws))
+        return [v for at in range(0, len(queries), QUERIES) for v, _, _ in self.votes(queries[at : at + QUERIES], examples[at : at + QUERIES])]
+
+    def calibrate(self, pairs: list[tuple[float, float]]) -> None:
         """Isotonic regression of labels on leave-one-out votes (pool adjacent violators)."""
-        spread = np.linspace(0, len(self.vectors) - 1, min(MAX_CALIBRATION, len(self.vectors))).astype(int) if self.vectors else []
-        pairs = sorted((self.vote(*self.vectors[e], without=e)[0], float(self.labels[e])) for e in spread if len(self.vectors[e][0]))
         pools: list[list[float]] = []
-        for x, y in pairs:
+        for x, y in sorted(pairs):
             pools.append([y, 1.0, x])
             while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
                 y2, n2, _ = pools.pop()
@@ -152,19 +208,25 @@ class Model:
         if pools:
             self.steps = (np.array([p[2] for p in pools]), np.array([(p[0] + 0.5 * self.blank) / (p[1] + 0.5) for p in pools]))
 
-    def score(self, data: bytes | None) -> tuple[float, list[tuple[int, float]]]:
-        fs, ws = self.vector(features(data))
-        if not len(fs):
-            return self.blank, []
-        key = (fs.tobytes(), ws.tobytes())
-        if key not in self.cache:
-            if len(self.cache) > CACHED:
-                self.cache.clear()
-            raw, best, sims = self.vote(fs, ws)
+    def scores(self, texts: list[bytes | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        keys = [xxhash.xxh3_128_digest(x or b"") for x in texts]
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        new = {key: x for key, x in zip(keys, texts, strict=True) if key not in self.cache}
+        vectors = {key: self.vector(features(x)) for key, x in new.items()}
+        self.cache.update((key, (self.blank, [])) for key, (fs, _) in vectors.items() if not len(fs))
+        full = [key for key, (fs, _) in vectors.items() if len(fs)]
+        for key, (raw, best, sims) in zip(full, self.votes([vectors[key] for key in full]), strict=True):
             if len(self.steps[0]):
                 raw = float(self.steps[1][max(0, int(np.searchsorted(self.steps[0], raw, "right")) - 1)])
             self.cache[key] = min(1.0, max(0.0, raw)), list(zip(best[:3].tolist(), sims[:3].tolist(), strict=True))
-        return self.cache[key]
+        return [self.cache[key] for key in keys]
+
+    def stream(self, texts: Iterator[bytes | None]) -> Iterator[tuple[float, list[tuple[int, float]]]]:
+        """Scores of texts, a few at a time."""
+        texts = iter(texts)
+        while part := list(islice(texts, QUERIES)):
+            yield from self.scores(part)
 
 
 def held_out(column) -> F.Column:
@@ -195,8 +257,8 @@ def _counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
 
 
-def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> list[bytes]:
-    """Features by evidence for label 1 (log-likelihood ratio), the strongest ``MAX_FEATURES``."""
+def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[bytes], np.ndarray]:
+    """All words, and the beginnings with evidence; and the share of the full weight that each has."""
     a, c = F.col("n_toxic").cast("double"), F.col("n_clean").cast("double")
     rate = (a + c) / F.lit(float(n_toxic + n_clean))
     part = lambda x, n: F.when(x > 0, x * F.ln(x / (F.lit(float(n)) * n_of))).otherwise(0.0)
@@ -204,9 +266,14 @@ def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> list[bytes]:
     absent = 1 - rate
     off = lambda x, n: F.when(F.lit(float(n)) > x, (F.lit(float(n)) - x) * F.ln((F.lit(float(n)) - x) / (F.lit(float(n)) * absent))).otherwise(0.0)
     ratio = 2 * (part(a, n_toxic) + part(c, n_clean) + off(a, n_toxic) + off(c, n_clean))
-    chosen = counts.filter((a >= MIN_TOXIC) & (a * float(max(n_clean, 1)) > 2 * c * float(n_toxic)) & (rate < 1)).withColumn("g2", ratio)
-    rows = chosen.filter(F.col("g2") >= MIN_EVIDENCE).orderBy(F.desc("g2"), "feature").limit(MAX_FEATURES).select("feature").collect()
-    return sorted(bytes(r[0]) for r in rows)
+    for_toxic = (a * float(n_clean) > c * float(n_toxic)) & (rate < 1)
+    rows = counts.select("feature", F.when(for_toxic, ratio).otherwise(0.0).alias("g2"))
+    word = F.substring(F.col("feature"), 1, 1) != F.lit(b"^")
+    found = rows.filter(word | (F.col("g2") >= MIN_EVIDENCE)).toArrow().sort_by("feature")
+    vocab, g2 = found["feature"].to_pylist(), found["g2"].to_numpy()
+    share = g2 * g2 / (g2 * g2 + MIN_EVIDENCE**2)
+    plain = np.array([0.0 if x[:1] == b"^" else PLAIN for x in vocab])
+    return vocab, plain + (1 - plain) * share
 
 
 def _document_frequency(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.ndarray, int]:
@@ -216,28 +283,27 @@ def _document_frequency(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        get, starts, cut = known.get, _starts(known), _BEGINNINGS[0]
         df = np.zeros(len(known) + 1, dtype=np.int64)
-        routes: dict[bytes, list[int]] = {}
+        pending: list[int] = []
         for batch in batches:
             df[-1] += batch.num_rows
             for data in utf8(batch.column(0)):
-                seen: set[int] = set()
-                for w in set(data.decode().lower().encode().translate(WORD_TABLE).split()) if data else ():
-                    route = routes.get(w)
-                    if route is None:
-                        if len(routes) > ROUTES:
-                            routes.clear()
-                        route = routes[w] = [f for x in expand(w) if (f := known.get(x)) is not None]
-                    if route:
-                        seen.update(route)
-                for f in seen:
-                    df[f] += 1
+                ws = set(data.decode().lower().encode().translate(WORD_TABLE).split()) if data else set()
+                pending += [f for w in ws if (f := get(w)) is not None]
+                if starts:
+                    pending += {f for w in ws if w[:cut] in starts for f in _beginnings(w, known)}
+                if len(pending) > PENDING:
+                    df += np.bincount(pending, minlength=len(df))
+                    pending = []
+        df += np.bincount(np.array(pending, dtype=np.int64), minlength=len(df))
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["feature", "n"])
+        for part in np.array_split(at, -(-len(at) // FLUSH)) if len(at) else ():
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(df[part])], ["feature", "n"])
 
     out = np.zeros(len(vocab) + 1, dtype=np.int64)
-    for f, n in docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():
-        out[f] = n
+    found = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    out[found["feature"].to_numpy()] = found["n"].to_numpy()
     shared.unpersist()
     return out[:-1], int(out[-1])
 
@@ -271,29 +337,45 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     sample = settle(sample.join(F.broadcast(keep), sample["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"))
     totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
-    vocab = {w: i for i, w in enumerate(_vocabulary(_counts(sample), n_toxic, n_clean))} if n_toxic else {}
+    names, share = _vocabulary(_counts(sample), n_toxic, n_clean)
+    vocab = {w: i for i, w in enumerate(names)}
     df, n_docs = _document_frequency(docs, vocab)
-    model = Model(vocab, np.log((1 + n_docs) / (1 + df)) + 1, np.zeros(0), [], [])
+    model = Model(vocab, (np.log((1 + n_docs) / (1 + df)) + 1) * share, np.zeros(0), [], [])
     shared = spark.sparkContext.broadcast(model)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            vs = [m.vector(features(x)) for x in utf8(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v[0].astype("<i4").tobytes() for v in vs], pa.binary()), pa.array([v[1].astype("<f8").tobytes() for v in vs], pa.binary())], ["doc_id", "toxic", "fs", "ws"])
+
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, fs binary, ws binary").toArrow().sort_by("doc_id")
+    shared.unpersist()
+    ids, toxic = rows["doc_id"].to_pylist(), rows["toxic"].to_pylist()
+    pairs = [(np.frombuffer(f.as_buffer(), "<i4"), np.frombuffer(w.as_buffer(), "<f8")) for f, w in zip(rows["fs"], rows["ws"], strict=True)]
+    blank = [y for y, (fs, _) in zip(toxic, pairs, strict=True) if not len(fs)]
+    full = [e for e, (fs, _) in enumerate(pairs) if len(fs)]
+    model = Model(vocab, model.idf, np.array([float(toxic[e]) for e in full]), [ids[e] for e in full], [pairs[e] for e in full], blank=(sum(blank) + 0.1) / (len(blank) + 1))
+    del rows, pairs
+    shared = spark.sparkContext.broadcast(model)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vs = [shared.value.vector(features(x)) for x in utf8(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v[0].tolist() for v in vs], pa.list_(pa.int64())), pa.array([v[1].tolist() for v in vs], pa.list_(pa.float64()))], ["doc_id", "toxic", "fs", "ws"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.left_out(b.column(0).to_pylist()), pa.float64())], ["e", "vote"])
 
-    rows = sorted(sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, fs array<long>, ws array<double>").collect(), key=lambda r: r["doc_id"])
+    n = len(full)
+    spread = np.unique(np.linspace(0, n - 1, min(MAX_CALIBRATION, n)).astype(int)).tolist() if n else []
+    if spread:
+        chosen = spark.createDataFrame([(e,) for e in spread], "e long")
+        model.calibrate([(r["vote"], float(model.labels[r["e"]])) for r in chosen.mapInArrow(left_out, "e long, vote double").collect()])
     shared.unpersist()
-    blank = [r["toxic"] for r in rows if not r["fs"]]
-    full = [r for r in rows if r["fs"]]
-    model = Model(vocab, model.idf, np.array([float(r["toxic"]) for r in full]), [r["doc_id"] for r in full], [(np.array(r["fs"], dtype=np.int64), np.array(r["ws"])) for r in full], blank=(sum(blank) + 0.1) / (len(blank) + 1))
-    model.calibrate()
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted and evidence (up to three nearest examples) of every row.
 
-    Null and empty texts, and texts without any known feature, get the share of label 1
+    Null and empty texts, and texts without any word of the examples, get the share of label 1
     among such examples.  Columns other than doc_id and text are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -304,7 +386,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            got = [m.score(x) for x in utf8(batch.column(1))]
+            got = list(m.stream(utf8(batch.column(1))))
             near = [[{"doc_id": m.ids[e], "similarity": s, "toxic": int(m.labels[e])} for e, s in x] for _, x in got]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array(near, evidence)],
@@ -321,7 +403,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(x)[0] < 0.5 for x in utf8(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([x < 0.5 for x, _ in shared.value.stream(utf8(batch.column(at)))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -186,6 +186,19 @@ def test_labels_of_held_out_rows_do_not_matter(spark, toxic_world):
     assert scores[0] == scores[1]
 
 
+def test_every_word_of_the_examples_is_compared(spark):
+    # two toxic examples a word, and common words that say nothing: no count or ratio of evidence leaves a text out
+    texts = [f"c{k % 3} c{k % 5} own{k} ugly{k // 2}" if k < 40 else f"c{k % 3} c{k % 5} own{k}" for k in range(200)]
+    ids = [i for i in range(2_000) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    lb = spark.createDataFrame([(i, int(k < 40)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, texts, ids), lb)
+    asked = ["ugly3 other", "c1 another", "own150 c2 c4"]
+    rows = {r["doc_id"]: r for r in toxicity.score(docs(spark, asked), model).collect()}
+    assert all(r["evidence"] for r in rows.values())
+    assert rows[0]["evidence"][0]["doc_id"] in ids[6:8] and rows[2]["evidence"][0]["doc_id"] == ids[150]
+    assert rows[0]["score"] > max(rows[1]["score"], rows[2]["score"])
+
+
 def test_no_labels_and_odd_texts(spark):
     d = docs(spark, [None, "", "x" * 100_000, "a b"], [None, 1, 2, 3])
     for rows in ([], [(2, None)], [(2, 0)], [(3, 1)]):
