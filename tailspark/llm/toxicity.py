@@ -38,6 +38,8 @@ PLAIN = 0.1
 NEIGHBOURS = 15
 #: Features that are multiplied as a matrix, queries at a time, and the bound on what single precision may be off by, twice.
 HEAD, QUERIES, MARGIN = 512, 64, 1e-4
+#: Examples at a time while the lists are made.
+CHUNK = 500
 #: Entries that a Python worker remembers: scores, counts, occurrences.
 CACHED, FLUSH, PENDING = 5_000, 150_000, 1_000_000
 _BEGINNINGS = (4, 5, 6, 7)
@@ -53,12 +55,6 @@ def expand(word: bytes) -> list[bytes]:
     return [word, *(b"^" + word[:n] for n in _BEGINNINGS if len(word) > n)]
 
 
-def _sketch(data: bytes | None) -> int:
-    """Least hash of the text's three-word shingles: equal for copies, mostly equal for near copies."""
-    ws = data.translate(WORD_TABLE).split() if data else []
-    return min((xxhash.xxh3_64_intdigest(b" ".join(ws[i : i + 3])) for i in range(max(1, len(ws) - 2))), default=0) >> 1
-
-
 def _starts(vocab: dict[bytes, int]) -> set[bytes]:
     """First bytes of the words that some beginning in the vocabulary may fit."""
     return {x[1 : 1 + _BEGINNINGS[0]] for x in vocab if x[:1] == b"^"}
@@ -68,6 +64,20 @@ def _beginnings(word: bytes, vocab: dict[bytes, int]) -> list[int]:
     return [f for x in expand(word)[1:] if (f := vocab.get(x)) is not None]
 
 
+def _pack(x: np.ndarray | None) -> tuple | None:
+    """An array, compressed byte plane by byte plane."""
+    return None if x is None else (x.dtype.str, len(x), pa.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True) if len(x) else b"")
+
+
+def _unpack(packed: tuple | None) -> np.ndarray | None:
+    if packed is None:
+        return None
+    kind, n, data = packed
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+
+
 @dataclass
 class Model:
     """Weights of the features, unit vectors of the examples, and the calibration of their votes."""
@@ -81,46 +91,82 @@ class Model:
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
 
     def __post_init__(self) -> None:
-        self.first = np.concatenate(([0], np.cumsum([len(fs) for fs, _ in self.vectors], dtype=np.int64))).astype(np.int64)
-        self.feature = np.concatenate([np.zeros(0, np.int32), *(fs for fs, _ in self.vectors)]).astype(np.int32)
         self.value = np.concatenate([np.zeros(0), *(ws for _, ws in self.vectors)]).astype(np.float64)
+        self.times = None
+        self._take([fs for fs, _ in self.vectors])
         self.vectors = []
         self._forget()
 
+    def _take(self, features_of: list[np.ndarray]) -> None:
+        self.first = np.concatenate(([0], np.cumsum([len(fs) for fs in features_of], dtype=np.int64))).astype(np.int64)
+        self.feature = np.concatenate([np.zeros(0, np.int32), *features_of]).astype(np.int32)
+
+    def learn(self, labels: list[int], ids: list, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Take examples as features and how often each occurs; their weights are worked out where they are needed."""
+        self.labels, self.ids, self.value = np.array(labels, dtype=np.float64), ids, None
+        self._take([fs for fs, _ in rows])
+        times = np.concatenate([np.zeros(0, np.int32), *(ns for _, ns in rows)])
+        self.times = times.astype(np.uint16 if times.max(initial=0) < 1 << 16 else np.uint32)
+        self._forget()
+
     def _forget(self) -> None:
         self.at = self.starts = None
         self.cache: dict = {}
 
     def __getstate__(self) -> dict:
-        """What is broadcast; each reader makes its own lists."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("at", "starts", "cache", "df", "head", "place", "example", "weight", "scratch")}
+        """What is broadcast, small; each reader makes its own lists."""
+        state = {k: getattr(self, k) for k in ("idf", "labels", "ids", "blank", "steps", "first", "value")}
+        step = np.diff(self.feature, prepend=np.int32(0))
+        return state | {k: _pack(x) for k, x in (("step", step), ("times", self.times))} | {"words": _pack(np.frombuffer(b"\n".join(self.vocab), np.uint8)), "n_words": len(self.vocab)}
 
     def __setstate__(self, state: dict) -> None:
+        words, n = _unpack(state.pop("words")).tobytes(), state.pop("n_words")
+        self.vocab = {w: i for i, w in enumerate(words.split(b"\n"))} if n else {}
+        self.feature = np.cumsum(_unpack(state.pop("step")), dtype=np.int32)
+        self.times = _unpack(state.pop("times"))
+        self.vectors = []
         self.__dict__.update(state)
         self._forget()
 
+    def _weights(self, at) -> np.ndarray:
+        """Weights of entries of the examples, before they are divided by their example's norm."""
+        return self.value[at] if self.times is None else self.logs[self.times[at]] * self.idf[self.feature[at]]
+
     def _index(self) -> None:
-        """Matrix of the most frequent features, lists of the others."""
+        """Matrix of the most frequent features, lists of the others; made from a few hundred examples at a time."""
         n, v = len(self.labels), len(self.vocab)
-        self.df = np.bincount(self.feature, minlength=v)
+        parts = [(e, min(e + CHUNK, n)) for e in range(0, n, CHUNK)]
+        self.logs = None if self.times is None else np.concatenate(([0.0], 1 + np.log(np.arange(1, 1 + int(self.times.max(initial=0))))))
+        self.df = sum((np.bincount(self.feature[self.first[a] : self.first[b]], minlength=v) for a, b in parts), np.zeros(v, dtype=np.int64))
         often = np.argsort(-self.df, kind="stable")[:HEAD]
         self.place = np.full(v, -1, dtype=np.int32)
         self.place[often] = np.arange(len(often))
-        own = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
-        column = self.place[self.feature]
-        self.head = np.zeros((n, len(often)), dtype=np.float32)
-        self.head[own[column >= 0], column[column >= 0]] = self.value[column >= 0]
-        rest = np.flatnonzero(column < 0)
-        rest = rest[np.argsort(self.feature[rest], kind="stable")]
-        self.example, self.weight = own[rest], self.value[rest].astype(np.float32)
         self.at = np.concatenate(([0], np.cumsum(np.where(self.place < 0, self.df, 0))))
-        self.scratch = np.zeros(v)
+        self.norm, self.scratch = np.ones(n), np.zeros(v)
+        self.head = np.zeros((n, len(often)), dtype=np.float32)
+        self.example, self.weight = np.zeros(self.at[-1], dtype=np.uint16 if n < 1 << 16 else np.uint32), np.zeros(self.at[-1], dtype=np.float32)
+        free = self.at[:-1].copy()
+        for a, b in parts:
+            span = slice(self.first[a], self.first[b])
+            fs, ws, own = self.feature[span], self._weights(span), np.repeat(np.arange(a, b), np.diff(self.first[a : b + 1]))
+            if self.times is not None:
+                self.norm[a:b] = np.sqrt(np.bincount(own - a, weights=ws * ws, minlength=b - a))
+                ws = ws / self.norm[own]
+            column = self.place[fs]
+            self.head[own[column >= 0], column[column >= 0]] = ws[column >= 0]
+            rest = np.flatnonzero(column < 0)
+            rest = rest[np.argsort(fs[rest], kind="stable")]
+            kinds, begin, sizes = np.unique(fs[rest], return_index=True, return_counts=True)
+            to = np.arange(len(rest)) + np.repeat(free[kinds] - begin, sizes)
+            self.example[to], self.weight[to] = own[rest], ws[rest]
+            free[kinds] += sizes
 
     def example_vector(self, e: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.feature[self.first[e] : self.first[e + 1]], self.value[self.first[e] : self.first[e + 1]]
+        span = slice(self.first[e], self.first[e + 1])
+        return self.feature[span], self._weights(span) / self.norm[e]
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector over the vocabulary: feature numbers in order, and weights."""
+    def occurrences(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Feature numbers in order, and how often each occurs."""
         if self.starts is None:
             self.starts = _starts(self.vocab)
         get, starts, cut = self.vocab.get, self.starts, _BEGINNINGS[0]
@@ -130,10 +176,14 @@ class Model:
                 if word[:cut] in starts:
                     for f in _beginnings(word, self.vocab):
                         found[f] = found.get(f, 0) + n
-        fs, ns = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
+        fs, ns = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
         order = np.argsort(fs)
-        fs = fs[order]
-        ws = (1 + np.log(ns[order])) * self.idf[fs]
+        return fs[order], ns[order]
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Unit TF-IDF vector over the vocabulary: feature numbers in order, and weights."""
+        fs, ns = self.occurrences(counts)
+        ws = (1 + np.log(ns)) * self.idf[fs]
         return fs, ws / np.sqrt((ws * ws).sum()) if len(fs) else ws
 
     def search(self, fs: np.ndarray, ws: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +220,7 @@ class Model:
             sizes = self.first[some + 1] - self.first[some]
             heads = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             at = np.repeat(self.first[some] - heads, sizes) + np.arange(int(sizes.sum()))
-            exact = np.add.reduceat(self.value[at] * self.scratch[self.feature[at]], heads)
+            exact = np.add.reduceat(self._weights(at) * self.scratch[self.feature[at]], heads) / self.norm[some]
             self.scratch[fs] = 0
             top = np.lexsort((some, -exact))[:k]
             out.append((some[top], exact[top]))
@@ -304,15 +354,15 @@ def _document_frequency(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.nd
     out = np.zeros(len(vocab) + 1, dtype=np.int64)
     found = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     out[found["feature"].to_numpy()] = found["n"].to_numpy()
-    shared.unpersist()
+    shared.destroy()
     return out[:-1], int(out[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """Fit on at most ``max_examples`` labelled rows that are not held out (those of least id hash).
 
-    A doc_id labelled more than once counts as toxic if any of its rows says so.  Near copies
-    among the examples count once.  Without usable labels every score is 0.
+    A doc_id labelled more than once counts as toxic if any of its rows says so.  Examples of
+    equal text and label count once.  Without usable labels every score is 0.
     """
     spark = docs.sparkSession
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -324,16 +374,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     base = docs.select("doc_id", "text")
     sample = settle(base.join(F.broadcast(ids), base["doc_id"] == ids["label_id"]).select("doc_id", "text", "toxic"))
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_sketch(x) for x in utf8(b.column(2))], pa.int64())], ["doc_id", "toxic", "sketch"])
-
     kind = base.schema["doc_id"].dataType.simpleString()
-    found = sample.select("doc_id", "toxic", "text").mapInArrow(sketches, f"doc_id {kind}, toxic int, sketch long")
-    kept: dict = {}
-    for r in sorted(found.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id")).collect(), key=lambda r: r["doc_id"]):
-        kept.setdefault((r["sketch"], r["toxic"]), r["doc_id"])
-    keep = spark.createDataFrame([(x,) for x in sorted(set(kept.values()))], f"kept_id {kind}")
+    # equal texts (by SHA-256) of one label count once: the row of least doc_id
+    kept = sample.groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id").collect()
+    keep = spark.createDataFrame([(x,) for x in sorted({r["doc_id"] for r in kept})], f"kept_id {kind}")
     sample = settle(sample.join(F.broadcast(keep), sample["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"))
     totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
@@ -346,16 +390,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            vs = [m.vector(features(x)) for x in utf8(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v[0].astype("<i4").tobytes() for v in vs], pa.binary()), pa.array([v[1].astype("<f8").tobytes() for v in vs], pa.binary())], ["doc_id", "toxic", "fs", "ws"])
+            vs = [m.occurrences(features(x)) for x in utf8(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([v[i].astype("<i4").tobytes() for v in vs], pa.binary()) for i in (0, 1))], ["doc_id", "toxic", "fs", "ns"])
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, fs binary, ws binary").toArrow().sort_by("doc_id")
-    shared.unpersist()
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, fs binary, ns binary").toArrow().sort_by("doc_id")
+    shared.destroy()
     ids, toxic = rows["doc_id"].to_pylist(), rows["toxic"].to_pylist()
-    pairs = [(np.frombuffer(f.as_buffer(), "<i4"), np.frombuffer(w.as_buffer(), "<f8")) for f, w in zip(rows["fs"], rows["ws"], strict=True)]
+    pairs = [(np.frombuffer(f.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), "<i4")) for f, n in zip(rows["fs"], rows["ns"], strict=True)]
     blank = [y for y, (fs, _) in zip(toxic, pairs, strict=True) if not len(fs)]
     full = [e for e, (fs, _) in enumerate(pairs) if len(fs)]
-    model = Model(vocab, model.idf, np.array([float(toxic[e]) for e in full]), [ids[e] for e in full], [pairs[e] for e in full], blank=(sum(blank) + 0.1) / (len(blank) + 1))
+    model.blank = (sum(blank) + 0.1) / (len(blank) + 1)
+    model.learn([toxic[e] for e in full], [ids[e] for e in full], [pairs[e] for e in full])
     del rows, pairs
     shared = spark.sparkContext.broadcast(model)
 
@@ -368,7 +413,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     if spread:
         chosen = spark.createDataFrame([(e,) for e in spread], "e long")
         model.calibrate([(r["vote"], float(model.labels[r["e"]])) for r in chosen.mapInArrow(left_out, "e long, vote double").collect()])
-    shared.unpersist()
+    shared.destroy()
     return model
 
 

@@ -199,6 +199,15 @@ def test_every_word_of_the_examples_is_compared(spark):
     assert rows[0]["score"] > max(rows[1]["score"], rows[2]["score"])
 
 
+def test_examples_that_share_a_passage_all_count(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [f"{passage} a{k} b{k} c{k}" for k in range(40)] * 2
+    ids = [i for i in range(2_000) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    lb = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, texts, ids), lb)
+    assert model.ids == ids[:40]  # copies count once, texts that only share a passage each
+
+
 def test_no_labels_and_odd_texts(spark):
     d = docs(spark, [None, "", "x" * 100_000, "a b"], [None, 1, 2, 3])
     for rows in ([], [(2, None)], [(2, 0)], [(3, 1)]):
