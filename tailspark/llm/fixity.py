@@ -63,7 +63,7 @@ def tree(records: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
 
 
 def differing(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
-    """(file, node): the records that differ between two trees, found from the roots down."""
+    """(file, node, surplus): the records that differ between two trees, found from the roots down, and whether only the other has them."""
     suspect = None
     for a, b in zip(reversed(one), reversed(other), strict=True):
         if suspect is not None:
@@ -72,16 +72,23 @@ def differing(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
             a, b = under(a), under(b)
         b = b.select(F.col("file").alias("file2"), F.col("node").alias("node2"), F.col("digest").alias("digest2"))
         pairs = a.join(b, (a["file"] == b["file2"]) & (a["node"] == b["node2"]), "full_outer")
-        suspect = settle(pairs.filter(~F.col("digest").eqNullSafe(F.col("digest2"))).select(F.coalesce("file", "file2").alias("file"), F.coalesce("node", "node2").alias("node")))
+        suspect = settle(pairs.filter(~F.col("digest").eqNullSafe(F.col("digest2"))).select(F.coalesce("file", "file2").alias("file"), F.coalesce("node", "node2").alias("node"), F.col("digest").isNull().alias("surplus")))
     return suspect
 
 
 def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
-    """Every record of ``pages`` with its place and whether the replica holds the same bytes there."""
-    first = settle(leaves(pages))
-    bad = differing(tree(first), tree(settle(leaves(replica)))).select(F.col("file").alias("bad_file"), F.col("node").alias("bad_node"), F.lit(False).alias("__same"))
+    """Every record of ``pages`` with its place and whether the replica holds the same bytes there.
+
+    Records that only the replica holds follow, not intact, without offset, length and digest.
+    """
+    first, second = settle(leaves(pages)), settle(leaves(replica))
+    found = differing(tree(first), tree(second)).select(F.col("file").alias("bad_file"), F.col("node").alias("bad_node"), "surplus")
+    bad = found.select("bad_file", "bad_node", F.lit(False).alias("__same"))
     met = first.join(bad, (first["file"] == F.col("bad_file")) & (first["position"] == F.col("bad_node")), "left")
-    return met.select("page_id", "file", "position", "offset", "length", "digest", F.coalesce("__same", F.lit(True)).alias("intact"))
+    held = met.select("page_id", "file", "position", "offset", "length", "digest", F.coalesce("__same", F.lit(True)).alias("intact"))
+    more = second.join(found.filter("surplus"), (second["file"] == F.col("bad_file")) & (second["position"] == F.col("bad_node")), "left_semi")
+    none = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("offset", "length", "digest")]
+    return held.unionByName(more.select("page_id", "file", "position", *none, F.lit(False).alias("intact")))
 
 
 def damaged(pages: DataFrame, one_in: int = 101) -> DataFrame:

@@ -171,6 +171,14 @@ def test_records_and_roots(spark):
     assert len(root) == 1 and root[0]["digest"] == up
 
 
+def test_records_that_only_the_replica_holds_are_damage(spark):
+    p = spark.createDataFrame([(i, "u", str(i)) for i in range(40)], "page_id long, url string, html string")
+    more = spark.createDataFrame([(40, "u", "40"), (5_000, "u", "a whole file")], p.schema)
+    got = fixity.audit(p, p.unionByName(more)).collect()
+    assert len(got) == 42
+    assert sorted((r["page_id"], r["digest"]) for r in got if not r["intact"]) == [(40, None), (5_000, None)]
+
+
 def test_missing_records_are_damage(spark):
     p = spark.createDataFrame([(i, "u", str(i)) for i in range(40)], "page_id long, url string, html string")
     got = fixity.audit(p, p.filter("page_id < 30"))
