@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tailspark.llm.common import LOWER_TABLE, settle, table, utf8
 
@@ -157,14 +158,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each near-duplicate class, the one of smallest doc_id; rows without doc_id stay.
+    """The documents of smallest doc_id in each near-duplicate class; rows without doc_id stay.
 
-    All columns of ``docs`` are kept as they are.  Repeated rows of one doc_id become one row.
+    All columns of ``docs`` are kept as they are.  Rows of one doc_id are judged each by its own
+    text; those of equal fingerprint become one row, the least by all its columns.
     """
     classes = near_duplicates(docs, shingle)
-    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    unnamed = docs.filter(F.col("doc_id").isNull())
-    return docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
+    names, at = [*docs.columns, "__fp"], docs.columns.index("text")
+    kind = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(x, shingle) for x in utf8(batch.column(at))), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names)
+
+    named = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(run, kind)
+    kept = named.join(keep, (named["doc_id"] == keep["kept_id"]) & (named["__fp"] == keep["kept_fp"]), "left_semi")
+    least = kept.groupBy("doc_id", "__fp").agg(F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("row")).select("row.*")
+    return least.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -295,6 +295,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_each_text_of_a_repeated_id_is_judged(spark):
+    one, two = (" ".join(words(60, 900)) for _ in range(2))
+    for texts, ids in (([one, one, two], [3, 5, 5]), ([two, one, one], [5, 5, 3]), ([one, one, two, two], [3, 5, 5, 5])):
+        kept = simhash.deduplicate(docs(spark, texts, ids)).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, one), (5, two)]
+    both = {r["text"] for r in simhash.deduplicate(docs(spark, [one, two], [5, 5])).collect()}
+    assert both == {one, two}
+
+
 # -- packing --------------------------------------------------------------------------------
 
 
