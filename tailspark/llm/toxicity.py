@@ -3,14 +3,22 @@
 Features are all words of the labelled examples.  Evidence (the log-likelihood ratio of a
 feature's presence with label 1) is a factor of a word's weight and leaves none out; beginnings
 of words, which are no words of the text, join where they have evidence of their own.  Inverse
-document frequencies are counted over *all* documents.  A query's cosines with all examples are
-summed up in single precision, frequent features by a matrix product and the others along their
-lists; whatever may belong to the nearest is summed up again in double precision: the
-neighbours are exact.  Votes are weighted by similarity and calibrated by isotonic regression
-of leave-one-out votes on the examples.
-
-Scale: the model is bounded by the words of ``MAX_EXAMPLES`` texts and is broadcast; documents
-stream past it twice (frequencies, scores) and are never shuffled.
+document frequencies are counted over *all* documents.
+
+The index is an inverted one with block maxima.  Examples are put in order of likeness and cut
+into blocks of ``BLOCK``.  The lists of rare features are read in full; the long lists of the
+``HEAD`` most frequent ones are kept block by block (as rows of a matrix, so that a block is
+read for many queries at a time) beside the largest weight that each feature has in the block.
+A block whose maxima, with the best that its examples have from the rare features, stay below a
+query's k-th best cosine so far is skipped.  Sums are in single precision with a margin;
+whatever may belong to the nearest is summed up again in double precision: the neighbours are
+exact.  Votes are weighted by similarity and calibrated by isotonic regression of leave-one-out
+votes on the examples.
+
+Scale: the model is bounded by the words of ``MAX_EXAMPLES`` texts and is broadcast.  Documents
+are read once and turned into feature numbers, which are written to the shared folder (some
+three tenths of the texts' size); frequencies and scores are made from those.  Nothing is
+shuffled but counts.
 """
 
 from __future__ import annotations
@@ -18,7 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailspark.llm.common import WORD_TABLE, settle, table, utf8
+from tailspark.llm.common import WORD_TABLE, settle, store, table, utf8
 
 #: Bound on the labelled rows that the classifier is fitted on.
 MAX_EXAMPLES = 20_000
@@ -37,7 +45,11 @@ MIN_EVIDENCE = 15.0
 PLAIN = 0.1
 NEIGHBOURS = 15
 #: Features that are multiplied as a matrix, queries at a time, and the bound on what single precision may be off by, twice.
-HEAD, QUERIES, MARGIN = 512, 64, 1e-4
+HEAD, QUERIES, MARGIN = 512, 128, 1e-4
+#: Examples in a block of the index; blocks that a query reads in each round, best bounds first, before the rest.
+BLOCK, ROUNDS = 128, (1, 8)
+#: Groups of like examples, and rounds of moving examples between them.
+GROUPS, MOVES = 32, 3
 #: Examples at a time while the lists are made.
 CHUNK = 500
 #: Entries that a Python worker remembers: scores, counts, occurrences.
@@ -64,6 +76,53 @@ def _beginnings(word: bytes, vocab: dict[bytes, int]) -> list[int]:
     return [f for x in expand(word)[1:] if (f := vocab.get(x)) is not None]
 
 
+def _occurrences(counts: Counter, vocab: dict[bytes, int], starts: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the features of a text in order, and how often each occurs."""
+    fs = np.fromiter(map(vocab.get, counts, repeat(-1)), np.int64, len(counts))
+    ns = np.fromiter(counts.values(), np.int64, len(counts))
+    known = fs >= 0
+    fs, ns = fs[known], ns[known]
+    if starts:
+        cut, more = _BEGINNINGS[0], {}
+        for word in [w for w in counts if w[:cut] in starts]:
+            for f in _beginnings(word, vocab):
+                more[f] = more.get(f, 0) + counts[word]
+        fs, ns = np.concatenate((fs, np.fromiter(more, np.int64, len(more)))), np.concatenate((ns, np.fromiter(more.values(), np.int64, len(more))))
+    order = np.argsort(fs)
+    return fs[order], ns[order]
+
+
+def _code(fs: np.ndarray, ns: np.ndarray) -> bytes:
+    """Feature numbers and counts as steps, byte plane by byte plane, compressed."""
+    both = np.concatenate((np.diff(fs, prepend=0), ns)).astype("<u4")
+    return len(fs).to_bytes(4, "little") + pa.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(fs) else b""
+
+
+def _decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if not data:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = int.from_bytes(data[:4], "little")
+    both = np.frombuffer(pa.decompress(data[4:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.cumsum(both[:n]), both[n:]
+
+
+def _likeness(head: np.ndarray) -> np.ndarray:
+    """Order of examples in which like ones are neighbours: groups about moving centres, sparse examples first."""
+    n = len(head)
+    size = (head > 0).sum(axis=1)
+    if n <= BLOCK:
+        return np.argsort(size, kind="stable")
+    unit = head / np.maximum(np.sqrt((head * head).sum(axis=1, keepdims=True)), 1e-9)
+    centres = unit[np.linspace(0, n - 1, GROUPS).astype(int)]
+    for _ in range(MOVES):
+        group = (unit @ centres.T).argmax(axis=1)
+        for g in range(GROUPS):
+            if (group == g).any():
+                centres[g] = unit[group == g].mean(axis=0)
+        centres /= np.maximum(np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 1e-9)
+    return np.lexsort((size, group))
+
+
 def _pack(x: np.ndarray | None) -> tuple | None:
     """An array, compressed byte plane by byte plane."""
     return None if x is None else (x.dtype.str, len(x), pa.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), "zstd", asbytes=True) if len(x) else b"")
@@ -112,6 +171,7 @@ class Model:
     def _forget(self) -> None:
         self.at = self.starts = None
         self.cache: dict = {}
+        self.read = self.seen = 0
 
     def __getstate__(self) -> dict:
         """What is broadcast, small; each reader makes its own lists."""
@@ -141,11 +201,10 @@ class Model:
         often = np.argsort(-self.df, kind="stable")[:HEAD]
         self.place = np.full(v, -1, dtype=np.int32)
         self.place[often] = np.arange(len(often))
-        self.at = np.concatenate(([0], np.cumsum(np.where(self.place < 0, self.df, 0))))
+        rare = np.where(self.place < 0, self.df, 0)
+        self.at = np.concatenate(([0], np.cumsum(rare)))
         self.norm, self.scratch = np.ones(n), np.zeros(v)
-        self.head = np.zeros((n, len(often)), dtype=np.float32)
-        self.example, self.weight = np.zeros(self.at[-1], dtype=np.uint16 if n < 1 << 16 else np.uint32), np.zeros(self.at[-1], dtype=np.float32)
-        free = self.at[:-1].copy()
+        head = np.zeros((n, len(often)), dtype=np.float32)
         for a, b in parts:
             span = slice(self.first[a], self.first[b])
             fs, ws, own = self.feature[span], self._weights(span), np.repeat(np.arange(a, b), np.diff(self.first[a : b + 1]))
@@ -153,12 +212,27 @@ class Model:
                 self.norm[a:b] = np.sqrt(np.bincount(own - a, weights=ws * ws, minlength=b - a))
                 ws = ws / self.norm[own]
             column = self.place[fs]
-            self.head[own[column >= 0], column[column >= 0]] = ws[column >= 0]
-            rest = np.flatnonzero(column < 0)
+            head[own[column >= 0], column[column >= 0]] = ws[column >= 0]
+        self.order = _likeness(head)
+        spot = np.empty(n, dtype=np.int64)
+        spot[self.order] = np.arange(n)
+        blocks = -(-n // BLOCK)
+        self.head = np.zeros((blocks, BLOCK, len(often)), dtype=np.float32)
+        self.head.reshape(blocks * BLOCK, len(often))[:n] = head[self.order]
+        self.top = self.head.max(axis=1) if blocks else np.zeros((0, len(often)), dtype=np.float32)
+        self.spot = spot
+        # a posting is the example's spot and, in the upper half, the bits of its weight
+        self.posting = np.zeros(self.at[-1], dtype=np.uint64)
+        free = self.at[:-1].copy()
+        for a, b in parts:
+            span = slice(self.first[a], self.first[b])
+            fs, own = self.feature[span], np.repeat(np.arange(a, b), np.diff(self.first[a : b + 1]))
+            rest = np.flatnonzero(self.place[fs] < 0)
             rest = rest[np.argsort(fs[rest], kind="stable")]
+            ws = (self._weights(span)[rest] / self.norm[own[rest]]).astype(np.float32)
             kinds, begin, sizes = np.unique(fs[rest], return_index=True, return_counts=True)
             to = np.arange(len(rest)) + np.repeat(free[kinds] - begin, sizes)
-            self.example[to], self.weight[to] = own[rest], ws[rest]
+            self.posting[to] = ws.view(np.uint32).astype(np.uint64) << 32 | spot[own[rest]].astype(np.uint64)
             free[kinds] += sizes
 
     def example_vector(self, e: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,20 +243,13 @@ class Model:
         """Feature numbers in order, and how often each occurs."""
         if self.starts is None:
             self.starts = _starts(self.vocab)
-        get, starts, cut = self.vocab.get, self.starts, _BEGINNINGS[0]
-        found = {f: n for word, n in counts.items() if (f := get(word)) is not None}
-        if starts:
-            for word, n in counts.items():
-                if word[:cut] in starts:
-                    for f in _beginnings(word, self.vocab):
-                        found[f] = found.get(f, 0) + n
-        fs, ns = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
-        order = np.argsort(fs)
-        return fs[order], ns[order]
+        return _occurrences(counts, self.vocab, self.starts)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector over the vocabulary: feature numbers in order, and weights."""
-        fs, ns = self.occurrences(counts)
+        return self.weighted(*self.occurrences(counts))
+
+    def weighted(self, fs: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ws = (1 + np.log(ns)) * self.idf[fs]
         return fs, ws / np.sqrt((ws * ws).sum()) if len(fs) else ws
 
@@ -193,26 +260,27 @@ class Model:
     def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
         if self.at is None:
             self._index()
-        n, h = self.head.shape
+        n, blocks = len(self.labels), len(self.head)
         if not n:
             return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(queries)
-        rows = np.zeros((len(queries), h), dtype=np.float32)
-        for row, (fs, ws) in zip(rows, queries, strict=True):
-            own = self.place[fs]
+        rows = np.zeros((len(queries), self.head.shape[2]), dtype=np.float32)
+        about = np.zeros((len(queries), blocks * BLOCK), dtype=np.float32)
+        for row, near, (fs, ws), skip in zip(rows, about, queries, without, strict=True):
+            own, begin, size = self.place[fs], self.at[fs], self.df[fs]
             row[own[own >= 0]] = ws[own >= 0]
-        about = rows @ self.head.T
-        out = []
-        for near, (fs, ws), skip in zip(about, queries, without, strict=True):
-            lists = (self.place[fs] < 0) & (self.at[fs + 1] > self.at[fs])
-            begin, end = self.at[fs[lists]], self.at[fs[lists] + 1]
-            if len(begin):
-                parts = [slice(*x) for x in zip(begin.tolist(), end.tolist(), strict=True)]
-                weights = np.concatenate([self.weight[x] for x in parts]) * np.repeat(ws[lists].astype(np.float32), end - begin)
-                near += np.bincount(np.concatenate([self.example[x] for x in parts]), weights=weights, minlength=n)
+            lists = np.flatnonzero((own < 0) & (size > 0))
+            if len(lists):
+                begin, size = begin[lists], size[lists]
+                found = np.concatenate([self.posting[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]).view(np.uint32).reshape(-1, 2)
+                near += np.bincount(found[:, 0], weights=found[:, 1].view(np.float32) * np.repeat(ws[lists].astype(np.float32), size), minlength=len(near))
+            near[n:] = -4.0
             if skip >= 0:
-                near[skip] = 0
-            least = float(np.partition(near, n - k)[n - k]) - MARGIN if n > k else 0.0
-            some = np.flatnonzero(near >= least if least > 0 else near > 0)
+                near[self.spot[skip]] = -4.0
+        self._add_head(rows, about, k)
+        out = []
+        for near, (fs, ws) in zip(about, queries, strict=True):
+            least = float(np.partition(near, len(near) - k)[len(near) - k]) - MARGIN if n > k else 0.0
+            some = np.sort(self.order[np.flatnonzero(near[:n] >= least if least > 0 else near[:n] > 0)])
             if not len(some):
                 out.append((some, np.zeros(0)))
                 continue
@@ -226,6 +294,30 @@ class Model:
             out.append((some[top], exact[top]))
         return out
 
+    def _add_head(self, rows: np.ndarray, about: np.ndarray, k: int) -> None:
+        """Add the cosines' part from frequent features, of those blocks that may hold one of the k nearest."""
+        cells = about.reshape(len(about), -1, BLOCK)
+        bound = rows @ self.top.T + cells.max(axis=2) + MARGIN
+        todo = np.argsort(-bound, axis=1, kind="stable")
+        done, least = 0, np.full(len(rows), -np.inf)
+        for width in (*ROUNDS, bound.shape[1]):
+            part = todo[:, done : done + width]
+            q, at = np.nonzero(np.take_along_axis(bound, part, axis=1) >= least[:, None])
+            block = part[q, at]
+            by = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.diff(block[by], prepend=-1, append=-1))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own, j = q[by[a:b]], block[by[a]]
+                cells[own, j] += rows[own] @ self.head[j].T
+            self.read += len(block)
+            done += width
+            if done >= bound.shape[1]:
+                break
+            best = np.take_along_axis(cells, todo[:, :done, None], axis=1).reshape(len(rows), -1)
+            if best.shape[1] > k:  # no sum so far is more than its cosine
+                least = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
+        self.seen += bound.size
+
     def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """Similarity-weighted share of label 1 among the neighbours, shrunk by one blank vote, and the neighbours."""
         out, prior = [], 0.05
@@ -258,12 +350,11 @@ class Model:
         if pools:
             self.steps = (np.array([p[2] for p in pools]), np.array([(p[0] + 0.5 * self.blank) / (p[1] + 0.5) for p in pools]))
 
-    def scores(self, texts: list[bytes | None]) -> list[tuple[float, list[tuple[int, float]]]]:
-        keys = [xxhash.xxh3_128_digest(x or b"") for x in texts]
+    def scores(self, keys: list[bytes], vector_of) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Score and three nearest examples for each key; ``vector_of`` gives the unit vector of one of them."""
         if len(self.cache) > CACHED:
             self.cache.clear()
-        new = {key: x for key, x in zip(keys, texts, strict=True) if key not in self.cache}
-        vectors = {key: self.vector(features(x)) for key, x in new.items()}
+        vectors = {key: vector_of(at) for at, key in enumerate(keys) if key not in self.cache}
         self.cache.update((key, (self.blank, [])) for key, (fs, _) in vectors.items() if not len(fs))
         full = [key for key, (fs, _) in vectors.items() if len(fs)]
         for key, (raw, best, sims) in zip(full, self.votes([vectors[key] for key in full]), strict=True):
@@ -276,7 +367,13 @@ class Model:
         """Scores of texts, a few at a time."""
         texts = iter(texts)
         while part := list(islice(texts, QUERIES)):
-            yield from self.scores(part)
+            yield from self.scores([xxhash.xxh3_128_digest(x or b"") for x in part], lambda at, part=part: self.vector(features(part[at])))
+
+    def stream_codes(self, codes: Iterator[bytes]) -> Iterator[tuple[float, list[tuple[int, float]]]]:
+        """Scores of coded texts, a few at a time."""
+        codes = iter(codes)
+        while part := list(islice(codes, QUERIES)):
+            yield from self.scores([xxhash.xxh3_128_digest(x) for x in part], lambda at, part=part: self.weighted(*_decode(part[at])))
 
 
 def held_out(column) -> F.Column:
@@ -326,49 +423,67 @@ def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[byt
     return vocab, plain + (1 - plain) * share
 
 
-def _document_frequency(docs: DataFrame, vocab: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each feature of the vocabulary occurs, and the number of documents."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(vocab)
+def _coded(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
+    """doc_id and the features of every text, as ``code`` (empty where a text has none)."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    base = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        get, starts, cut = known.get, _starts(known), _BEGINNINGS[0]
-        df = np.zeros(len(known) + 1, dtype=np.int64)
-        pending: list[int] = []
+        starts = _starts(known)
+        for batch in batches:
+            codes = [_code(*_occurrences(features(x), known, starts)) for x in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["doc_id", "code"])
+
+    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, code binary")
+
+
+def _document_frequency(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many of all documents each of ``size`` features occurs, and the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(size + 1, dtype=np.int64)
+        pending, held = [], 0
         for batch in batches:
             df[-1] += batch.num_rows
-            for data in utf8(batch.column(0)):
-                ws = set(data.decode().lower().encode().translate(WORD_TABLE).split()) if data else set()
-                pending += [f for w in ws if (f := get(w)) is not None]
-                if starts:
-                    pending += {f for w in ws if w[:cut] in starts for f in _beginnings(w, known)}
-                if len(pending) > PENDING:
-                    df += np.bincount(pending, minlength=len(df))
-                    pending = []
-        df += np.bincount(np.array(pending, dtype=np.int64), minlength=len(df))
+            for code in batch.column(0):
+                fs, _ = _decode(code.as_py())
+                pending.append(fs)
+                held += len(fs)
+                if held > PENDING:
+                    df += np.bincount(np.concatenate(pending), minlength=len(df))
+                    pending, held = [], 0
+        if pending:
+            df += np.bincount(np.concatenate(pending), minlength=len(df))
         at = np.flatnonzero(df)
         for part in np.array_split(at, -(-len(at) // FLUSH)) if len(at) else ():
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(df[part])], ["feature", "n"])
 
-    out = np.zeros(len(vocab) + 1, dtype=np.int64)
-    found = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, dtype=np.int64)
+    found = coded.select("code").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     out[found["feature"].to_numpy()] = found["n"].to_numpy()
-    shared.destroy()
     return out[:-1], int(out[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """Fit on at most ``max_examples`` labelled rows that are not held out (those of least id hash).
 
-    A doc_id labelled more than once counts as toxic if any of its rows says so.  Examples of
-    equal text and label count once.  Without usable labels every score is 0.
+    Ids may be of any type; rows without id or label are never learnt from.  A doc_id labelled
+    more than once counts as toxic if any of its rows says so; one with several texts gives the
+    least of them.  Examples of equal text and label count once.  Null and empty texts count as
+    texts without words; long ones are read whole.  Without usable labels, or with empty
+    tables, every score is 0.  Other columns are ignored, whatever their names.
     """
+    return _fit(docs, labels, max_examples)[0]
+
+
+def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[Model, DataFrame]:
+    """The model, and the coded documents that its frequencies were counted on."""
     spark = docs.sparkSession
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select(F.col("doc_id").alias("label_id"), "toxic").collect()
     if not chosen:
-        return Model({}, np.zeros(0), np.zeros(0), [], [])
+        return Model({}, np.zeros(0), np.zeros(0), [], []), _coded(docs, {})
     # at most max_examples rows, so that they may be broadcast
     ids = spark.createDataFrame([tuple(r) for r in chosen], f"label_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int")
     base = docs.select("doc_id", "text")
@@ -378,12 +493,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     # equal texts (by SHA-256) of one label count once: the row of least doc_id
     kept = sample.groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id").collect()
     keep = spark.createDataFrame([(x,) for x in sorted({r["doc_id"] for r in kept})], f"kept_id {kind}")
-    sample = settle(sample.join(F.broadcast(keep), sample["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"))
+    least = sample.join(F.broadcast(keep), sample["doc_id"] == keep["kept_id"], "left_semi").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = settle(least.select("doc_id", "text", "toxic"))
     totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     names, share = _vocabulary(_counts(sample), n_toxic, n_clean)
     vocab = {w: i for i, w in enumerate(names)}
-    df, n_docs = _document_frequency(docs, vocab)
+    coded = store(_coded(docs, vocab), "toxicity-codes")
+    df, n_docs = _document_frequency(coded, len(vocab))
     model = Model(vocab, (np.log((1 + n_docs) / (1 + df)) + 1) * share, np.zeros(0), [], [])
     shared = spark.sparkContext.broadcast(model)
 
@@ -414,35 +531,42 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         chosen = spark.createDataFrame([(e,) for e in spread], "e long")
         model.calibrate([(r["vote"], float(model.labels[r["e"]])) for r in chosen.mapInArrow(left_out, "e long, vote double").collect()])
     shared.destroy()
-    return model
+    return model, coded
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted and evidence (up to three nearest examples) of every row.
 
     Null and empty texts, and texts without any word of the examples, get the share of label 1
-    among such examples.  Columns other than doc_id and text are ignored.
+    among such examples.  Long texts are read whole, repeated rows are scored each, ids may be
+    null and of any type.  Columns other than doc_id and text are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select("doc_id", "text")
+    return _scored(docs.select("doc_id", "text"), model, Model.stream)
+
+
+def _scored(base: DataFrame, model: Model, stream) -> DataFrame:
+    shared = base.sparkSession.sparkContext.broadcast(model)
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            got = list(m.stream(utf8(batch.column(1))))
+            evidence = pa.list_(pa.struct([("doc_id", batch.column(0).type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+            got = list(stream(m, utf8(batch.column(1))))
             near = [[{"doc_id": m.ids[e], "similarity": s, "toxic": int(m.labels[e])} for e, s in x] for _, x in got]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array(near, evidence)],
                 ["doc_id", "score", "predicted", "evidence"],
             )
 
-    return base.mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
+    return base.mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:{kind},similarity:double,toxic:int>>")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """Documents that are not predicted toxic; all columns and rows otherwise as they are."""
+    """Documents that are not predicted toxic; all columns and rows otherwise as they are.
+
+    Null, empty and long texts and repeated rows are scored as ``score`` does, each row by its text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -455,5 +579,5 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+    model, coded = _fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(coded, model, Model.stream_codes).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")

@@ -160,6 +160,68 @@ def test_search_equals_exhaustive_cosine():
         assert np.allclose(np.sort(score)[::-1], want[order]) and len(set(best)) == len(best) and i not in best
 
 
+@pytest.mark.parametrize("n", [3, 127, 900, 1500])
+def test_blocks_are_skipped_and_neighbours_stay_exact(n):
+    # groups of like examples over 700 features, so that the index has frequent and rare ones and skips blocks
+    rng = np.random.default_rng(n)
+    vectors = []
+    for i in range(n):
+        own = (i % 5) * 140
+        fs = np.unique(np.minimum(rng.geometric(0.05, rng.integers(2, 40)) - 1, 139) + own)
+        w = rng.random(len(fs)) + 0.1
+        vectors.append((fs, w / np.linalg.norm(w)))
+    vectors[n // 2] = vectors[0]
+    m = toxicity.Model({str(i).encode(): i for i in range(700)}, np.ones(700), rng.integers(0, 2, n).astype(float), list(range(n)), vectors)
+    dense = np.zeros((n, 700))
+    for i, (fs, w) in enumerate(vectors):
+        dense[i, fs] = w
+    asked = list(range(0, n, 7))
+    for (best, score), i in zip(m.search_all([vectors[i] for i in asked], 15, asked), asked, strict=True):
+        want = dense @ dense[i]
+        want[i] = 0
+        order = [e for e in np.lexsort((np.arange(n), -want))[:15] if want[e] > 0]
+        assert np.allclose(score, want[order], atol=1e-12) and len(set(best.tolist())) == len(best) and i not in best
+    assert n < 900 or m.read < m.seen
+
+
+def test_votes_and_calibration_by_hand(spark, toxic_world):
+    texts, labels = toxic_world
+    d, lb = docs(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    model = toxicity.fit(d, lb)
+    rows = {r["doc_id"]: r for r in toxicity.score(d, model).collect()}
+    dense = np.zeros((len(model.labels), len(model.vocab)))
+    model._index()
+    for e in range(len(model.labels)):
+        fs, ws = model.example_vector(e)
+        dense[e, fs] = ws
+    for i in range(0, len(texts), 23):
+        counts = {}
+        for w in texts[i].split():
+            for f in toxicity.expand(w.encode()):
+                if f in model.vocab:
+                    counts[model.vocab[f]] = counts.get(model.vocab[f], 0) + 1
+        q = np.zeros(len(model.vocab))
+        q[list(counts)] = [(1 + np.log(c)) * model.idf[f] for f, c in counts.items()]
+        sims = dense @ q / np.linalg.norm(q)
+        best = np.lexsort((np.arange(len(sims)), -np.round(sims, 12)))[: toxicity.NEIGHBOURS]
+        w = sims[best] ** 2
+        raw = (w @ model.labels[best] + 0.05 * model.blank) / (w.sum() + 0.05)
+        at = max(0, int(np.searchsorted(model.steps[0], raw - 1e-9, "right")) - 1), max(0, int(np.searchsorted(model.steps[0], raw + 1e-9, "right")) - 1)
+        assert any(abs(rows[i]["score"] - min(1.0, max(0.0, model.steps[1][k]))) < 1e-9 for k in at)
+        assert np.allclose([e["similarity"] for e in rows[i]["evidence"]], sims[best[:3]], atol=1e-9)
+    assert (np.diff(model.steps[0]) >= 0).all() and (np.diff(model.steps[1]) >= -0.2).all()
+
+
+def test_ids_of_any_type_and_texts_of_one_id(spark, toxic_world):
+    texts, labels = toxic_world
+    names = [f"d{i}" for i in range(len(texts))]
+    d = spark.createDataFrame([*zip(names, texts, [7] * len(texts)), ("d1", "zz other", 7), (None, "vile", 7)], "doc_id string, text string, label_id int")
+    model = toxicity.fit(d, spark.createDataFrame(list(zip(names, labels)), "doc_id string, toxic int"))
+    rows = toxicity.score(d, model).collect()
+    assert len(rows) == len(texts) + 2 and all(e["doc_id"] in names for r in rows for e in r["evidence"])
+    assert [r["predicted"] for r in rows if r["doc_id"] is None] == [1]
+
+
 def test_held_out_scores(spark, toxic_world):
     texts, labels = toxic_world
     lb = spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels)] + [(3, 0, labels[3]), (99_999, 1, 1)], "doc_id long, quality int, toxic int")
