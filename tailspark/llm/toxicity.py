@@ -261,7 +261,7 @@ class Model:
         if self.at is None:
             self._index()
         n, blocks = len(self.labels), len(self.head)
-        if not n:
+        if not n or not queries:
             return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(queries)
         rows = np.zeros((len(queries), self.head.shape[2]), dtype=np.float32)
         about = np.zeros((len(queries), blocks * BLOCK), dtype=np.float32)
