@@ -75,6 +75,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, led by as many underscores as it takes to clash with none of ``taken``."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(col):
     """Lower-cases A-Z only, as the contracts ask (``lower`` would change other letters too)."""
     return F.translate(col, UPPER, LOWER)

@@ -9,24 +9,30 @@ Only stretches in which every pair of neighbouring words also neighbours in some
 hold a match of two words or more, so the automaton steps through those stretches alone.
 The pair test is a hashed bit table: it may let a stretch through, never hold one back.
 
-Scale: documents are read once and never shuffled.  The benchmark is cut into automata of at
-most ``MAX_AUTOMATON_WORDS`` words each, so what a task loads is bounded whatever the size of
-the benchmark; several automata run one after the other over the same rows.
+Scale: documents are never shuffled.  The benchmark is cut into pieces of about
+``MAX_AUTOMATON_WORDS`` words.  A task builds the automaton of each; driver and workers hold one
+at a time.  A benchmark of one piece (the usual case) is one pass over the documents; each
+further piece is a further pass, between which documents and what was found in them are kept
+in the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tailspark.llm.common import table, utf8, words
+from tailspark.llm.common import free_name, settle, store, table, utf8, words
 
 WINDOW = 13
 #: A document is contaminated when hits make up at least one word in so many.
@@ -169,22 +175,72 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_AUTOMATON_WORDS) -> list:
-    """Broadcast automata over the benchmark, each of at most ``max_words`` words (or one longer item)."""
-    sc = benchmark.sparkSession.sparkContext
-    out, batch, size = [], [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), F.encode("text", "UTF-8")).toLocalIterator()
-    for item, text in rows:
-        ws = words(bytes(text)) if text is not None else []
-        if not ws or item is None:
-            continue
-        if batch and size + len(ws) > max_words:
-            out.append(sc.broadcast(SuffixAutomaton(batch, window)))
-            batch, size = [], 0
-        batch.append((item, ws))
-        size += len(ws)
-    out.append(sc.broadcast(SuffixAutomaton(batch, window)))
-    return out
+def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_AUTOMATON_WORDS) -> tuple[DataFrame, list[int]]:
+    """Pickled automata (piece, automaton) over the benchmark, each of about ``max_words`` words, and the pieces' numbers."""
+    text = F.encode("text", "UTF-8")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text")).filter("item IS NOT NULL AND text IS NOT NULL").distinct()
+    size = F.size(F.split(F.decode("text", F.lit("UTF-8")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+    total = items.agg(F.sum(size)).first()[0] or 0
+    cut = items.withColumn("piece", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, -(-total // max_words)))))
+
+    def build(rows: pa.Table) -> pa.Table:
+        both = sorted(zip(rows["item"].to_pylist(), rows["text"].to_pylist(), strict=True))
+        made = SuffixAutomaton([(item, words(t)) for item, t in both], window)
+        return pa.table({"piece": [rows["piece"][0].as_py()], "automaton": pa.array([pickle.dumps(made)], pa.binary())})
+
+    built = settle(cut.groupBy("piece").applyInArrow(build, "piece long, automaton binary"))
+    return built, sorted(r["piece"] for r in built.select("piece").collect())
+
+
+#: What is found in a text: hit word ranges, disjoint and in order; items; the longest match; the number of words.
+_FOUND = pa.struct([("hits", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("n_words", pa.int64())])
+_FOUND_DDL = "struct<hits:array<array<bigint>>,items:array<string>,longest:bigint,n_words:bigint>"
+
+
+def _passes(docs: DataFrame, made: tuple[DataFrame, list[int]], finish: Callable, schema: StructType) -> DataFrame:
+    """``finish(batch, found, scan)`` of all rows, with what all automata find in their texts; ``scan`` is the last one's."""
+    spark = docs.sparkSession
+    built, pieces = made
+    at, extra = docs.columns.index("text"), free_name("found", docs.columns)
+
+    def step(number: int, last: bool):
+        blob = built.filter(F.col("piece") == pieces[number]).first()["automaton"] if pieces else pickle.dumps(SuffixAutomaton([]))
+        shared, key = spark.sparkContext.broadcast(bytes(blob)), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scan = _automaton(key, shared).scan
+            for batch in batches:
+                before = batch.column(batch.num_columns - 1).to_pylist() if number else [None] * batch.num_rows
+                found = []
+                for data, old in zip(utf8(batch.column(at)), before, strict=True):
+                    ws = words(data)
+                    hits, items, longest = scan(ws)
+                    if old:
+                        hits, items, longest = _merge([*hits, *map(tuple, old["hits"])]), items | set(old["items"]), max(longest, old["longest"])
+                    found.append({"hits": hits, "items": sorted(items), "longest": longest, "n_words": len(ws)})
+                if last:
+                    yield finish(batch.select(list(range(len(docs.columns)))), found, scan)
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(docs.columns)], pa.array(found, _FOUND)], [*docs.columns, extra])
+
+        return run
+
+    kind = StructType([*docs.schema.fields, StructField(extra, StructType.fromDDL(f"x {_FOUND_DDL}")["x"].dataType)])
+    now = docs
+    for k in range(len(pieces) - 1):
+        now = store(now.mapInArrow(step(k, False), kind), "decontamination")
+    return now.mapInArrow(step(max(0, len(pieces) - 1), True), schema)
+
+
+_HELD: dict[str, SuffixAutomaton] = {}
+
+
+def _automaton(key: str, shared) -> SuffixAutomaton:
+    """The automaton of a broadcast, unpickled once a worker; a worker holds one at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = pickle.loads(shared.value)
+    return _HELD[key]
 
 
 _SCHEMA = (
@@ -193,6 +249,12 @@ _SCHEMA = (
 )
 
 
+def _covered(found: dict, coverage: int = COVERAGE) -> tuple[int, bool]:
+    """Hit words, and whether they are at least one word in ``coverage``."""
+    n_hit = sum(e - s for s, e in found["hits"])
+    return n_hit, n_hit > 0 and coverage * n_hit >= found["n_words"]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_AUTOMATON_WORDS) -> DataFrame:
     """Find benchmark passages in documents.
 
@@ -200,69 +262,73 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words:
     other columns of either are ignored, whatever their names.  One row per document row
     (repeated rows stay): doc_id, word counts, hit word ranges, items, and the verdict
     (any hit, and hits of at least one word in ``COVERAGE``).  Null or empty text has no
-    words and no hit.  Items of no words and items without id match nothing; an empty
-    benchmark finds nothing.
+    words and no hit; long texts are read whole.  Repeated items count once; items of no words
+    and items without id match nothing; an empty benchmark finds nothing.
     """
-    shared = automata(benchmark, window, max_words)
     base = docs.select("doc_id", "text")
-    id_type = base.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: dict[str, list] = {n: [] for n in ("n_words", "n_hit", "longest", "n_items", "items_sha256", "contaminated", "item_ids", "hits")}
-            for data in utf8(batch.column(1)):
-                ws = words(data)
-                hits, found, longest = [], set(), 0
-                for b in shared:
-                    h, f, n = b.value.scan(ws)
-                    hits, found, longest = hits + h, found | f, max(longest, n)
-                hits = _merge(hits)
-                n_hit = sum(e - s for s, e in hits)
-                ids = sorted(found)
-                for name, value in zip(
-                    cols,
-                    (len(ws), n_hit, longest, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and COVERAGE * n_hit >= len(ws), ids, [{"start": s, "end": e} for s, e in hits]),
-                    strict=True,
-                ):
-                    cols[name].append(value)
-            kinds = {"items_sha256": pa.string(), "contaminated": pa.bool_(), "item_ids": pa.list_(pa.string()), "hits": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds.get(n, pa.int64())) for n, v in cols.items())], ["doc_id", *cols])
-
-    return base.mapInArrow(run, f"doc_id {id_type}, {_SCHEMA}")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int | None = None) -> DataFrame:
-    """Documents without benchmark contamination; all columns of ``docs`` stay as they are.
+    kinds = {"items_sha256": pa.string(), "contaminated": pa.bool_(), "item_ids": pa.list_(pa.string()), "hits": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+    names = ("n_words", "n_hit", "longest", "n_items", "items_sha256", "contaminated", "item_ids", "hits")
+
+    def finish(batch: pa.RecordBatch, found: list[dict], _) -> pa.RecordBatch:
+        rows = []
+        for x in found:
+            n_hit, bad = _covered(x)
+            digest = hashlib.sha256(",".join(x["items"]).encode()).hexdigest()
+            rows.append((x["n_words"], n_hit, x["longest"], len(x["items"]), digest, bad, x["items"], [{"start": s, "end": e} for s, e in x["hits"]]))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds.get(n, pa.int64())) for n, v in zip(names, cols, strict=True))], ["doc_id", *names])
+
+    schema = StructType([base.schema["doc_id"], *StructType.fromDDL(_SCHEMA).fields])
+    return _passes(base, automata(benchmark, window, max_words), finish, schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int | None = None, max_words: int = MAX_AUTOMATON_WORDS) -> DataFrame:
+    """Documents without benchmark contamination; all columns of ``docs`` stay.
 
     Documents whose hits reach ``COVERAGE`` are removed.  With ``max_span``, hit spans of more
     than that many words are also cut from the text of the documents that stay (a cut leaves
-    one space).  Without it, the text of documents below the limit is left alone.
+    one space), again and again until none is left; ``n_chars``, where there is one, follows the
+    text.  Other documents are left alone.  Null and empty texts stay, repeated rows are judged
+    each, long texts are read whole; an empty benchmark removes nothing.
     """
-    shared = automata(benchmark, window)
     at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, changed = [], {}
-            for k, data in enumerate(utf8(batch.column(at))):
-                ws = words(data)
-                hits: list[tuple[int, int]] = []
-                for b in shared:
-                    hits += b.value.scan(ws)[0]
-                hits = _merge(hits)
-                n_hit = sum(e - s for s, e in hits)
-                keep.append(not (n_hit and COVERAGE * n_hit >= len(ws)))
-                long = [h for h in hits if max_span is not None and h[1] - h[0] > max_span]
-                if keep[-1] and long:
-                    changed[k] = _cut(data.decode(), long)
-            if changed:
-                text = batch.column(at).to_pylist()
-                for k, t in changed.items():
-                    text[k] = t
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    mark = free_name("cut", docs.columns)
+
+    def finish(batch: pa.RecordBatch, found: list[dict], scan, limit: int = COVERAGE) -> pa.RecordBatch:
+        keep = [not _covered(x, limit)[1] for x in found]
+        changed = {}
+        for k, x in enumerate(found):
+            hits = x["hits"]
+            if keep[k] and max_span is not None and any(e - s > max_span for s, e in hits):
+                text = batch.column(at)[k].as_py()
+                while long := [h for h in hits if h[1] - h[0] > max_span]:
+                    text = _cut(text, long)
+                    hits = scan(words(text.encode()))[0]
+                changed[k] = text
+        if changed:
+            text = batch.column(at).to_pylist()
+            for k, t in changed.items():
+                text[k] = t
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
+            if size is not None:
+                chars = [len(changed[k]) if k in changed else n for k, n in enumerate(batch.column(size).to_pylist())]
+                batch = batch.set_column(size, batch.schema.field(size), pa.array(chars, batch.schema.field(size).type))
+        batch = batch.append_column(mark, pa.array([k in changed for k in range(len(keep))], pa.bool_()))
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    schema = StructType([*docs.schema.fields, StructField(mark, BooleanType())])
+    made = automata(benchmark, window, max_words)
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    if max_span is None or len(made[1]) < 2:
+        return _passes(docs, made, finish, schema).select(*plain)
+    kept = []  # of several pieces, a cut may bring words of another one together: what was cut is looked at again
+    while True:
+        out = store(_passes(docs, made, finish if not kept else partial(finish, limit=0), schema), "decontamination")  # documents are judged as they came
+        kept.append(out.filter(~F.col(f"`{mark}`")).select(*plain))
+        docs = out.filter(F.col(f"`{mark}`")).select(*plain)
+        if not docs.limit(1).count():
+            return reduce(DataFrame.unionAll, kept)
 
 
 def _cut(text: str, ranges: list[tuple[int, int]]) -> str:

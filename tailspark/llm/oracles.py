@@ -59,7 +59,7 @@ d AS (SELECT page_id, CAST(floor(page_id / 1024) AS BIGINT) AS file, CAST(strlen
   NOT ({_CRC} % 101 = 0 AND length(coalesce(html, '')) > 0) AS intact FROM r)
 SELECT page_id, file, row_number() OVER w - 1 AS position,
   CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-  length, digest, intact
+  length, digest, CAST(1 AS BIGINT) AS n_records, CASE WHEN intact THEN 'same' ELSE 'changed' END AS status, intact
 FROM d WINDOW w AS (PARTITION BY file ORDER BY page_id, digest)
 """
 
