@@ -75,6 +75,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def one_thread_a_task(spark: SparkSession) -> None:
+    """Python workers started from now on do matrix products in the task's own thread, as all cores have tasks."""
+    spark.sparkContext.environment["OPENBLAS_NUM_THREADS"] = "1"
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, led by as many underscores as it takes to clash with none of ``taken``."""
     used = {t.lower() for t in taken}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailspark.llm.common import settle, table
+from tailspark.llm.common import one_thread_a_task, settle, table
 
 K = 5
 #: Most rows in a block, and most numbers: the rows that fit are fewer where vectors are long.
@@ -135,6 +135,7 @@ def nearest(vectors: DataFrame, every: int, k: int = K) -> DataFrame:
     components take no part.  Vectors of different length never meet.  Rows equal in id and
     vector count once.  Other columns are ignored; an empty table gives no rows.
     """
+    one_thread_a_task(vectors.sparkSession)
     rows = settle(_usable(vectors).distinct())
     n, n_queries, longest = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.max(F.size("v"))).first()
     fit = max(1, BLOCK_NUMBERS // (longest or 1))

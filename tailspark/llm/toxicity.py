@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailspark.llm.common import WORD_TABLE, settle, store, table, utf8
+from tailspark.llm.common import WORD_TABLE, one_thread_a_task, settle, store, table, utf8
 
 #: Bound on the labelled rows that the classifier is fitted on.
 MAX_EXAMPLES = 20_000
@@ -480,6 +480,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
 def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[Model, DataFrame]:
     """The model, and the coded documents that its frequencies were counted on."""
     spark = docs.sparkSession
+    one_thread_a_task(spark)
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select(F.col("doc_id").alias("label_id"), "toxic").collect()
     if not chosen:

@@ -1,6 +1,7 @@
 """License scan, URL filter, PII, fixity and preference formatting against plain Python, with edge cases."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -18,6 +19,45 @@ def docs(spark, texts):
 # -- licenses -------------------------------------------------------------------------------
 
 
+def brute_licenses(text):
+    """Names of the templates of which some window of the operator's geometry holds enough, by exact containment alone."""
+    ws, out = licenses._plain_words(text or ""), set()
+    for name, t in licenses.TEMPLATES.items():
+        tw = licenses._plain_words(t)
+        want = {tuple(tw[i : i + 5]) for i in range(len(tw) - 4)}
+        if want:
+            size = licenses.window_size(len(want))
+            for first in range(0, max(1, len(ws) - 4), size // 2):
+                held = {tuple(ws[i : i + 5]) for i in range(first, min(first + size, len(ws) - 4))}
+                if len(want & held) >= 0.8 * len(want):
+                    out.add(name)
+    return out
+
+
+def test_bands_retrieve_what_exact_containment_finds(spark):
+    rng = random.Random(3)
+    names = sorted(licenses.TEMPLATES)
+    texts = []
+    for k in range(300):
+        ws = licenses.TEMPLATES[names[k % len(names)]].split()
+        for _ in range(k // len(names) % 3 if len(ws) > 30 else 0):
+            ws[rng.randrange(len(ws))] = "other"
+        lead = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(300))] + ["software", "license"] * (k % 2)
+        texts.append(" ".join([*lead, *ws, *(f"w{rng.randrange(500)}" for _ in range(rng.randrange(100)))]))
+    got = {r["doc_id"]: set(filter(None, r["licenses"].split(","))) for r in licenses.scan(docs(spark, texts)).collect()}
+    want = {i: brute_licenses(t) for i, t in enumerate(texts)}
+    total, met = sum(map(len, want.values())), sum(len(got[i] & want[i]) for i in want)
+    assert total > 250 and met >= 0.99 * total and all(got[i] <= want[i] for i in want)
+    assert all(names[i % len(names)] in want[i] for i in range(len(names)))
+
+
+def test_license_scan_of_repeated_and_very_long_texts(spark):
+    long = "w x y z " * 100_000 + licenses.TEMPLATES["MIT"] + " software" * 50_000
+    d = spark.createDataFrame([(1, long, "a", "b"), (1, long, "a", "b"), (None, licenses.TEMPLATES["MPL-2.0"], "a", "b")], DOCS).withColumn("w", F.lit(1)).withColumn("evidence", F.lit(2))
+    assert sorted((str(r["doc_id"]), r["licenses"]) for r in licenses.scan(d).collect()) == [("1", "MIT"), ("1", "MIT"), ("None", "MPL-2.0")]
+    assert licenses.scan(d.limit(0)).count() == 0 and licenses.scan(d, {}).first()["n_licenses"] == 0
+
+
 def test_license_scan_finds_whole_and_near_notices(spark):
     mit = licenses.TEMPLATES["MIT-notice"]
     ws = mit.split()
