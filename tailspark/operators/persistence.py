@@ -70,6 +70,17 @@ def stable(rows: DataFrame) -> DataFrame:
     return best.select("series_id", first.alias("window_lo"), F.element_at("part", -1)["b"].alias("window_hi"), first.alias("selected_level"), "score", "start", "stop", "part")
 
 
+def stable_paths(values: DataFrame, keys=PATHS, k: int = 1) -> DataFrame:
+    """The ``k`` calmest windows of each requested path: base_path, sliding, rank and part."""
+    grid = grid_table(values)
+
+    def one(base: str, is_sliding: bool) -> DataFrame:
+        tops = select.top_stable(path_points(path(values, base, is_sliding, grid)), k)
+        return tops.select("series_id", F.lit(base).alias("base_path"), F.lit(is_sliding).alias("sliding"), "rank", "part")
+
+    return reduce(DataFrame.unionByName, (one(b, s) for b, s in keys))
+
+
 def pooled(windows_: DataFrame) -> DataFrame:
     """theta from the mean of z over a window (ordinary least squares), with a log-scale interval."""
     from tailspark.functions.arrays import mean, total

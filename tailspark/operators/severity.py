@@ -77,11 +77,10 @@ def design_life(fits: DataFrame, years: list[float], per_year: float = DAYS_PER_
 def shared_tau(series: DataFrame, taus: list[float], headline: float = TAU, is_sliding: bool = True) -> DataFrame:
     """(series_id, tau, intercept, xi): several quantiles on the headline quantile's plateau with its slope.
 
-    All quantiles come from one pass over the maxima; the curves (some tens of rows a series)
-    are kept for the two uses.
+    All quantiles come from one pass over the maxima.
     """
     grid = grid_table(series)
-    rows = curves.quantile_curves(series, grid, sorted({*taus, headline}), is_sliding).filter("value > 0").persist()
+    rows = curves.quantile_curves(series, grid, sorted({*taus, headline}), is_sliding).filter("value > 0")
     fits = ols(select.plateau(curves.positive_points(rows.filter(F.col("tau") == headline).withColumn("is_positive", F.lit(True)))))
     kept = fits.select("series_id", "xi", F.explode("part.b").alias("b"))
     met = rows.filter(F.col("tau").isin(taus)).join(kept, ["series_id", "b"])

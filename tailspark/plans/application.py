@@ -14,11 +14,65 @@ TAUS = (0.5, 0.9, 0.95, 0.99)
 YEARS = (1.0, 10.0, 25.0, 50.0)
 
 
+#: Extremal-index methods of an application, and its replicates and seed.
+EI_METHODS = ("bb_sliding_fgls", "northrop_sliding_fgls", "k_gaps", "ferro_segers")
+
+
 def fits(days: DataFrame, reps: int = resample.REPS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Points and weighted fits of dated series (series_id, ts, value)."""
     s = prep.numbered(days).select("series_id", "pos", "value")
-    points = curves.positive_points(curves.curve(s, grid_table(s))).persist()
-    return points, resample.fgls(s, severity.ols(select.plateau(points)), points, reps, seed)
+    points = curves.positive_points(curves.curve(s, grid_table(s)))
+    return points, resample.fgls(s, severity.ols(select.plateau(points)), reps, seed)
+
+
+def ei_fits(days: DataFrame, reps: int = resample.REPS, seed: int = 7, zeros: bool = False) -> DataFrame:
+    """Four extremal-index estimates of every series, one row per series and method, with mean cluster size 1 / theta.
+
+    Both pooled fits share one bank of resamples of the unfiltered series.
+    """
+    s = prep.numbered(days).select("series_id", "pos", "value")
+    values = persistence.prepared(s, zeros)
+    keys = (("bb", True), ("northrop", True))
+    drawn = resample.path_draws(s, grid_table(values), reps, seed, zeros, keys)
+    pooled = resample.pooled(persistence.stable_paths(values, keys), drawn)
+    pooled = pooled.select("series_id", F.concat_ws("_", "base_path", F.lit("sliding_fgls")).alias("method"), "theta", "theta_lo", "theta_hi", F.col("z_se").alias("se"), "window_lo", "window_hi", F.lit("log_wald").alias("ci_method"), "ci_variant")
+    none = [F.lit(None).cast("long").alias(c) for c in ("window_lo", "window_hi")]
+    other = lambda df, m, ci: df.select("series_id", F.lit(m).alias("method"), "theta", "theta_lo", "theta_hi", "se", *none, F.lit(ci).alias("ci_method"), F.lit("default").alias("ci_variant"))
+    rows = pooled.unionByName(other(persistence.k_gaps(values), "k_gaps", "profile")).unionByName(other(persistence.ferro_segers(values), "ferro_segers", "wald"))
+    return rows.withColumn("mean_cluster_size", 1 / F.col("theta"))
+
+
+def ei_window_fits(days: DataFrame, k: int = 3, reps: int = resample.REPS, seed: int = 7, zeros: bool = False) -> DataFrame:
+    """Pooled weighted fits on the ``k`` calmest windows of the sliding northrop path, on one bank."""
+    s = prep.numbered(days).select("series_id", "pos", "value")
+    values = persistence.prepared(s, zeros)
+    keys = (("northrop", True),)
+    drawn = resample.path_draws(s, grid_table(values), reps, seed, zeros, keys)
+    return resample.pooled(persistence.stable_paths(values, keys, k), drawn)
+
+
+def evi_window_fits(days: DataFrame, k: int = 3, reps: int = resample.REPS, seed: int = 7) -> DataFrame:
+    """Weighted fits on the ``k`` best plateaus, on one curve and one set of draws."""
+    s = prep.numbered(days).select("series_id", "pos", "value")
+    grid = grid_table(s)
+    tops = severity.window_variants(curves.positive_points(curves.curve(s, grid)), k)
+    return resample.weighted(tops, resample.draws(resample.banks(s, grid), reps, seed))
+
+
+def method_rows(days: DataFrame, reps: int = resample.REPS, seed: int = 7, taus=TAUS) -> DataFrame:
+    """Severity rows by method: the sliding median fit as one row per quantile on its plateau and slope, with one- and
+    ten-year levels; fits of other targets as one row without levels."""
+    from tailspark.plans import benchmark
+
+    s = prep.numbered(days).select("series_id", "pos", "value")
+    rows = benchmark.evi_factorial(s, reps=reps, seed=seed, schemes=("sliding",)).withColumnsRenamed({"b_lo": "plateau_lo", "b_hi": "plateau_hi"}).drop("se")
+    shared = severity.shared_tau(s, list(taus)).select("series_id", "tau", F.col("intercept").alias("offset"), F.col("xi").alias("slope"))
+    levels = shared.join(severity.observations_per_year(days), "series_id")
+    at = lambda y: F.exp(F.col("offset") + F.col("slope") * F.ln(F.lit(float(y)) * F.col("per_year")))
+    levels = levels.select("series_id", "tau", at(1).alias("level_1y"), at(10).alias("level_10y"))
+    median = F.col("method") == "sliding_median_ols"
+    met = rows.filter(median).join(levels, "series_id").withColumn("is_headline_tau", F.abs(F.col("tau") - 0.5) < 1e-9)
+    return met.withColumn("shared_xi", F.lit(True)).unionByName(rows.filter(~median).withColumns({"shared_xi": F.lit(False), "is_headline_tau": F.lit(False)}), allowMissingColumns=True)
 
 
 def summary(evi_days: DataFrame, ei_days: DataFrame, reps: int = resample.REPS, zeros: bool = False) -> DataFrame:

@@ -22,37 +22,51 @@ def stack(parts: list[DataFrame]) -> DataFrame:
 
 
 def evi_factorial(series: DataFrame, tau: float = 0.5, reps: int = resample.REPS, seed: int = 7, schemes=("disjoint", "sliding"), targets=("median", "mean", "mode")) -> DataFrame:
-    """Scheme x target x regression: curve and plateau once per scheme and target."""
+    """Scheme x target x regression.  All targets of a scheme share the maxima, the draws and one pass of fits."""
     grid = grid_table(series)
+    kinds = {t: "quantile" if t == "median" else t for t in targets}
     out = []
     for scheme in schemes:
         is_sliding = scheme == "sliding"
-        for target in targets:
-            kind = "quantile" if target == "median" else target
-            points = curves.positive_points(curves.curve(series, grid, is_sliding, kind, tau)).persist()
-            ols = severity.ols(select.plateau(points))
-            fgls = resample.fgls(series, ols, points, reps, seed, kind, tau, is_sliding)
-            out.append(ols.withColumns({"method": F.lit(f"{scheme}_{target}_ols"), "ci_variant": F.lit("ols")}).select(*_ROW))
-            out.append(fgls.withColumn("method", F.lit(f"{scheme}_{target}_fgls")).select(*_ROW))
+        plateaus = stack([severity.ols(select.plateau(curves.positive_points(curves.curve(series, grid, is_sliding, k, tau)))).withColumn("target", F.lit(k)) for k in kinds.values()])
+        drawn = resample.draws(resample.banks(series, grid, is_sliding), reps, seed, tuple(kinds.values()), tau)
+        both = resample.weighted(plateaus, drawn, by=("series_id", "target"), ordinary=True)
+        label = F.when(F.col("target") == "quantile", "median").otherwise(F.col("target"))
+        out.append(both.withColumn("method", F.concat_ws("_", F.lit(scheme), label, "regression")).select(*_ROW))
     return stack(out)
 
 
+#: Interval methods of the extremal-index estimators.
+EI_CI = {"northrop_native": "profile", "bb_native": "wald", "k_gaps": "profile", "ferro_segers": "wald"}
+_EI_ROW = ["series_id", "method", "theta", "theta_lo", "theta_hi", "ci_variant", "window_lo", "window_hi", "tau", "run_k"]
+
+
+def _ei_rows(found: DataFrame, method, variant) -> DataFrame:
+    """Rows of one estimator in the common columns; what it has not is null."""
+    kinds = {"window_lo": "long", "window_hi": "long", "tau": "double", "run_k": "int"}
+    named = found.withColumns({"method": method, "ci_variant": variant})
+    return named.select(*(F.col(c) if c in named.columns else F.lit(None).cast(kinds[c]).alias(c) for c in _EI_ROW))
+
+
+def _pooled_label():
+    scheme = F.when(F.col("sliding"), "sliding").otherwise("disjoint")
+    return F.concat_ws("_", "base_path", scheme, "regression")
+
+
 def ei_methods(series: DataFrame, zeros: bool = False, reps: int = resample.REPS, seed: int = 7) -> DataFrame:
-    """Eight pooled estimates (path x scheme x regression) and four others, one row per series and method."""
+    """Eight pooled estimates (path x scheme x regression) and four others, one row per series and method.
+
+    All pooled estimates share one bank of resamples.
+    """
     values = persistence.prepared(series, zeros)
-    grid = grid_table(values)
-    cols = ["series_id", "method", "theta", "theta_lo", "theta_hi", "ci_variant"]
-    out = []
-    for base, is_sliding in persistence.PATHS:
-        scheme = "sliding" if is_sliding else "disjoint"
-        stable = persistence.stable(persistence.path(values, base, is_sliding, grid)).persist()
-        out.append(persistence.pooled(stable).withColumns({"method": F.lit(f"{base}_{scheme}_ols"), "ci_variant": F.lit("ols")}).select(*cols))
-        out.append(resample.ei_fgls(series, stable, base, is_sliding, reps, seed, zeros).withColumn("method", F.lit(f"{base}_{scheme}_fgls")).select(*cols))
-    named = lambda df, m, v: df.withColumns({"method": F.lit(m), "ci_variant": F.lit(v)}).select(*cols)
-    out.append(named(persistence.northrop_native(values, True), "northrop_native", "profile"))
-    out.append(named(persistence.bb_native(values, True), "bb_native", "wald"))
-    out.append(named(persistence.k_gaps(values), "k_gaps", "default"))
-    out.append(named(persistence.ferro_segers(values), "ferro_segers", "default"))
+    drawn = resample.path_draws(series, grid_table(values), reps, seed, zeros, persistence.PATHS)
+    both = resample.pooled(persistence.stable_paths(values), drawn, ordinary=True)
+    out = [_ei_rows(both, _pooled_label(), F.col("ci_variant"))]
+    native = {"northrop_native": persistence.northrop_native(values, True), "bb_native": persistence.bb_native(values, True)}
+    for m, found in native.items():
+        out.append(_ei_rows(found.withColumns({"window_lo": F.col("b"), "window_hi": F.col("b")}), F.lit(m), F.lit(EI_CI[m])))
+    out.append(_ei_rows(persistence.k_gaps(values), F.lit("k_gaps"), F.lit("default")))
+    out.append(_ei_rows(persistence.ferro_segers(values), F.lit("ferro_segers"), F.lit("default")))
     return stack(out)
 
 
@@ -86,14 +100,26 @@ def evaluate_ei(table: DataFrame, **kwargs) -> DataFrame:
 def shrinkage_sensitivity(table: DataFrame, shrinkages=SHRINKAGES, reps: int = resample.REPS) -> DataFrame:
     """Median error, coverage and score of the sliding median fit by shrinkage; curves and plateaus are shared."""
     series, ids = _simulated(table)
-    points = curves.positive_points(curves.curve(series, grid_table(series))).persist()
-    ols = severity.ols(select.plateau(points)).persist()
-    each = stack([resample.fgls(series, ols, points, reps, shrinkage=s).withColumn("delta", F.lit(float(s))) for s in shrinkages])
+    grid = grid_table(series)
+    ols = severity.ols(select.plateau(curves.positive_points(curves.curve(series, grid))))
+    each = resample.weighted(ols, resample.draws(resample.banks(series, grid), reps), shrinkages)
     scored = _scored(each, table, ids, "xi", "xi_true")
     first = scored.groupBy("benchmark_set", "family", "n_obs", "scenario", "delta").agg(F.median("relative_error").alias("e"), F.avg(F.col("covered").cast("double")).alias("c"), F.median("interval_score").alias("s"))
     return first.groupBy("benchmark_set", "family", "n_obs", "delta").agg(F.median("e").alias("median_ape"), F.median("c").alias("median_coverage"), F.median("s").alias("median_interval_score"))
 
 
+def ei_shrinkage_sensitivity(table: DataFrame, shrinkages=SHRINKAGES, reps: int = resample.REPS, seed: int = 7) -> DataFrame:
+    """Median error, coverage and score of both sliding pooled fits by shrinkage; paths, windows and resamples are shared."""
+    series, ids = _simulated(table)
+    values = persistence.prepared(series)
+    keys = (("bb", True), ("northrop", True))
+    drawn = resample.path_draws(series, grid_table(values), reps, seed, paths=keys)
+    each = resample.pooled(persistence.stable_paths(values, keys), drawn, shrinkages).withColumn("method", _pooled_label())
+    scored = _scored(each, table, ids, "theta", "theta_true")
+    first = scored.groupBy("benchmark_set", "family", "n_obs", "scenario", "method", "delta").agg(F.median("relative_error").alias("e"), F.avg(F.col("covered").cast("double")).alias("c"), F.median("interval_score").alias("s"))
+    return first.groupBy("benchmark_set", "family", "n_obs", "method", "delta").agg(F.median("e").alias("median_ape"), F.median("c").alias("median_coverage"), F.median("s").alias("median_interval_score"))
+
+
 def record_length_sensitivity(spark: SparkSession, lengths=LENGTHS, families=simulate.FAMILIES[:2], xis=simulate.EVI_XI, reps: int = 100) -> DataFrame:
     """Median error by record length and method, lengths as columns."""
     tables = [simulate.scenarios(spark, families, xis, (0.1,), n, reps, f"length{n}") for n in lengths]

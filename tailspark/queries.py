@@ -434,8 +434,9 @@ def q_ei_fgls(spark, d):
     from tailspark.operators import resample
 
     e = events(spark, d)
-    rows = persistence.stable(persistence.path(persistence.prepared(e), "northrop", True))
-    return resample.ei_fgls(e, rows, "northrop", True, reps=60)
+    values = persistence.prepared(e)
+    keys = (("northrop", True),)
+    return resample.pooled(persistence.stable_paths(values, keys), resample.path_draws(e, grid_table(values), reps=60, paths=keys))
 
 
 @query
