@@ -179,7 +179,7 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_AU
     """Pickled automata (piece, automaton) over the benchmark, each of about ``max_words`` words, and the pieces' numbers."""
     text = F.encode("text", "UTF-8")
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text")).filter("item IS NOT NULL AND text IS NOT NULL").distinct()
-    size = F.size(F.split(F.decode("text", F.lit("UTF-8")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+    size = F.size(F.split(F.decode("text", "UTF-8"), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
     total = items.agg(F.sum(size)).first()[0] or 0
     cut = items.withColumn("piece", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, -(-total // max_words)))))
 
@@ -201,7 +201,8 @@ def _passes(docs: DataFrame, made: tuple[DataFrame, list[int]], finish: Callable
     """``finish(batch, found, scan)`` of all rows, with what all automata find in their texts; ``scan`` is the last one's."""
     spark = docs.sparkSession
     built, pieces = made
-    at, extra = docs.columns.index("text"), free_name("found", docs.columns)
+    names = docs.columns
+    at, extra, n = names.index("text"), free_name("found", names), len(names)
 
     def step(number: int, last: bool):
         blob = built.filter(F.col("piece") == pieces[number]).first()["automaton"] if pieces else pickle.dumps(SuffixAutomaton([]))
@@ -219,9 +220,9 @@ def _passes(docs: DataFrame, made: tuple[DataFrame, list[int]], finish: Callable
                         hits, items, longest = _merge([*hits, *map(tuple, old["hits"])]), items | set(old["items"]), max(longest, old["longest"])
                     found.append({"hits": hits, "items": sorted(items), "longest": longest, "n_words": len(ws)})
                 if last:
-                    yield finish(batch.select(list(range(len(docs.columns)))), found, scan)
+                    yield finish(batch.select(list(range(n))), found, scan)
                 else:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(docs.columns)], pa.array(found, _FOUND)], [*docs.columns, extra])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, _FOUND)], [*names, extra])
 
         return run
 

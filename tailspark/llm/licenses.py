@@ -30,11 +30,8 @@ BANDS = 32
 
 #: Notices and usual one-line wordings, by name.
 TEMPLATES = {
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "AGPL-3.0-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
+    "AGPL-3.0": "GNU Affero General Public License, version 3.",
+    "AGPL-3.0-notice": "GNU Affero General Public License as published by",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -61,11 +58,8 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-2.0-notice": (
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
-    ),
+    "GPL-2.0": "GNU General Public License, version 2.",
+    "GPL-2.0-notice": "GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
@@ -77,11 +71,8 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
-    "LGPL-2.1-notice": (
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
-        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
-    ),
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-notice": "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "LGPL-3.0": "GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT-licensed": "Licensed under the MIT License.",
     "MIT-notice": (

@@ -81,6 +81,30 @@ def test_decontaminate_keeps_clean_documents_as_they_are(spark):
     assert item not in cut[2] and cut[2].startswith("Start, ") and cut[2].endswith("- END.") and cut[0] == "clean text"
 
 
+@pytest.mark.parametrize("max_words", [100_000, 25])
+def test_no_long_span_is_left_in_kept_documents(spark, max_words):
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"w{k}" for k in rng.integers(0, 3_000, n)]
+    items = [(k, " ".join(some(n))) for k, n in enumerate((13, 20, 40, 5, 26))]
+    a, b = items[1][1].split(), items[4][1].split()
+    long = lambda *parts: " ".join([*some(1_500), *(w for p in parts for w in p), *some(1_500)])
+    texts = [long(a), long(a[:10], b, a[10:]), long(items[3][1].split()), long(a, a, b), items[0][1], None, "", "clean words only", long(items[2][1].split()).upper()]
+    d = docs(spark, texts).withColumn("cut", F.lit(1)).withColumn("found", F.lit(2))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontamination.decontaminate(d, bench, max_span=12, max_words=max_words)
+    assert out.columns == d.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    want = {i for i, t in enumerate(texts) if not brute_hits(t, items)[3]}
+    assert set(got) == want and 4 not in want
+    whole = [i for i in items if len(split(i[1])) >= 13]
+    for i, r in got.items():
+        assert brute_hits(r["text"], whole)[1] == 0
+        if not brute_hits(texts[i], whole)[1]:
+            assert r["text"] == texts[i]
+        else:
+            assert len(split(r["text"])) == 3_000 and r["n_chars"] == len(r["text"])
+
+
 # -- neighbours -----------------------------------------------------------------------------
 
 
@@ -125,6 +149,33 @@ def test_quantisation_bound_holds():
     assert (np.abs((qa @ qb.T) * sa[:, None] * sb - true) <= off + 1e-9).all()
 
 
+@pytest.mark.parametrize("d", [1_536, 3_000])
+def test_long_vectors_are_exact(d):
+    rng = np.random.default_rng(d)
+    base = rng.normal(size=d)
+    cv = base + rng.normal(size=(300, d)) * 1e-7  # nearer to each other than single precision tells
+    cv[200:] *= 1e150
+    qv = cv[:20] * rng.uniform(1e-160, 1e160, (20, 1))
+    q, c, score = neighbours.tile_top(np.arange(20), qv, np.arange(300), cv, 5)
+    for i in range(20):
+        all_ = neighbours._cosine(np.repeat(qv[i : i + 1], 300, axis=0), cv)
+        all_[i] = -2
+        best = np.lexsort((np.arange(300), -all_))[:5]
+        assert sorted(c[q == i].tolist()) == sorted(best.tolist()) and np.isfinite(score).all()
+
+
+def test_equal_vectors_take_little_memory():
+    import tracemalloc
+
+    cv = np.ones((30_000, 64))
+    tracemalloc.start()
+    q, c, score = neighbours.tile_top(np.arange(0, 30_000, 50), cv[::50], np.arange(30_000)[::-1].copy(), cv, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = 29_999 - c
+    assert peak < 400e6 and len(q) == 3_000 and sorted(ids[q == 7].tolist()) == [0, 1, 2, 3, 4] and sorted(ids[q == 0].tolist()) == [1, 2, 3, 4, 5] and (score == 1).all()
+
+
 # -- toxicity -------------------------------------------------------------------------------
 
 

@@ -51,6 +51,12 @@ def test_bands_retrieve_what_exact_containment_finds(spark):
     assert all(names[i % len(names)] in want[i] for i in range(len(names)))
 
 
+def test_templates_do_not_match_each_other():
+    family = {"Apache-2.0-notice": {"Apache-2.0"}}
+    for name, text in licenses.TEMPLATES.items():
+        assert brute_licenses("some words first " + text + " and more after it") <= {name} | family.get(name, set()), name
+
+
 def test_license_scan_of_repeated_and_very_long_texts(spark):
     long = "w x y z " * 100_000 + licenses.TEMPLATES["MIT"] + " software" * 50_000
     d = spark.createDataFrame([(1, long, "a", "b"), (1, long, "a", "b"), (None, licenses.TEMPLATES["MPL-2.0"], "a", "b")], DOCS).withColumn("w", F.lit(1)).withColumn("evidence", F.lit(2))
