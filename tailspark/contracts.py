@@ -42,6 +42,20 @@ def contract_ok(df: DataFrame, columns: set[str], expected: dict[str, list]) ->
     return columns <= set(df.columns) and all(same_set(df, c, v) for c, v in expected.items())
 
 
+def positive_finite(series: DataFrame, least: int = 0, zeros: bool = False) -> DataFrame:
+    """Positive (or non-negative) finite values of the series that keep at least ``least`` of them."""
+    kept = series.filter(F.col("value") >= 0 if zeros else F.col("value") > 0).filter(finite("value").isNotNull())
+    enough = kept.groupBy("series_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("series_id")
+    return kept.join(enough, "series_id", "left_semi") if least else kept
+
+
+def kept_counts(series: DataFrame, least: int = 0, zeros: bool = False) -> DataFrame:
+    """(series_id, n, n_kept, reason): what ``positive_finite`` leaves, and why a series is left out (null if it is not)."""
+    good = finite("value") >= 0 if zeros else finite("value") > 0
+    n = series.groupBy("series_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce(good, F.lit(False))).alias("n_kept"))
+    return n.withColumn("reason", F.when(F.col("n_kept") < least, F.format_string(f"at least {least} values are needed, %d are left", "n_kept")))
+
+
 def diagnostics(series: DataFrame) -> DataFrame:
     """Counts of missing, negative and non-positive values per series, instead of warnings on executors."""
     v = F.col("value")

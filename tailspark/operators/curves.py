@@ -110,3 +110,11 @@ def positive_points(curve_rows: DataFrame) -> DataFrame:
 def plot_data(points: DataFrame) -> DataFrame:
     """The points behind a scaling plot, one row each."""
     return points.select("series_id", F.explode("pts").alias("p")).select("series_id", "p.*")
+
+
+def aligned(curve: DataFrame, wanted: DataFrame, value: str = "value") -> DataFrame:
+    """A curve's values at wanted block sizes (series_id, b); a size that the curve lacks is an error."""
+    have = curve.select("series_id", "b", F.col(value).alias("__value"), F.lit(True).alias("__found"))
+    met = wanted.join(have, ["series_id", "b"], "left")
+    lacking = F.raise_error(F.format_string("The curve of %s has no block size %s.", "series_id", F.col("b").cast("string"))).cast("double")
+    return met.select(*wanted.columns, F.when(F.col("__found"), F.col("__value")).otherwise(lacking).alias(value))

@@ -41,3 +41,25 @@ def persistence_screen(days: DataFrame, min_years: float = 20, zeros: bool = Fal
     met = _facts(days).join(bb, "series_id", "left").join(kg, "series_id", "left")
     ok = (F.col("n_years") >= min_years) & F.col("theta_bb").isNotNull() & F.col("theta_kg").isNotNull() & (F.col("stable_lo") > 0)
     return met.withColumn("recommended", F.coalesce(ok, F.lit(False)))
+
+
+#: Fixed value: lower bound of the tail index that marks a candidate which could not be screened.
+FAILED = -999.0
+
+
+def candidates(sites: DataFrame, days: DataFrame, **kwargs) -> DataFrame:
+    """Every candidate (state_code, site_no, ...) with its severity screening by series_id = site_no.
+
+    A candidate that cannot be screened stays as a row that is not recommended, with a lower
+    bound of ``FAILED`` and the reason in ``error``; no series can make the others fail.
+    """
+    found = severity_screen(days, **kwargs)
+    found = found.select(F.col("series_id").alias("__site"), *(c for c in found.columns if c != "series_id"))
+    met = sites.join(found, sites["site_no"] == F.col("__site"), "left")
+    error = (
+        F.when(F.col("__site").isNull(), "no observations").when(F.col("n_obs") < 32, "too few observations")
+        .when(F.col("xi").isNull(), "too few positive summaries").when(F.col("ci_variant") == "ols", "no bootstrap covariance")
+    )
+    failed = F.col("xi").isNull()
+    out = met.withColumn("error", error).withColumn("xi_lo", F.when(failed, FAILED).otherwise(F.col("xi_lo")))
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("support", "recommended")}).drop("__site")

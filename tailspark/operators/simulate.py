@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BURN_IN = 2_000
 ORDER = 99
@@ -19,6 +20,8 @@ EVI_XI = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 EVI_THETA = (0.01, 0.1, 0.5, 1.0)
 EI_XI = (0.01, 0.5, 1.0, 5.0)
 EI_THETA = (0.1, 0.15, 0.25, 0.4, 0.6, 0.8, 1.0)
+STRESS_XI = (0.1, 0.3, 1.0)
+STRESS_THETA = (0.1, 0.5, 1.0)
 SCENARIO = "scenario string, benchmark_set string, family string, xi_true double, theta_true double, phi double, n_obs int, reps int, seed long"
 
 
@@ -86,7 +89,6 @@ def draw(family: str, xi: float, phi: float, n: int, rng: np.random.Generator) -
 
 def simulate(table: DataFrame) -> DataFrame:
     """(scenario, rep, series_id, pos, value) of a scenario table: one task row per replicate, not per scenario."""
-    from pyspark.sql import functions as F
 
     each = table.withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("reps") - 1))).repartition(F.xxhash64("scenario", "rep"))
     out = "scenario string, rep int, series_id string, pos long, value double"
@@ -98,3 +100,25 @@ def simulate(table: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"scenario": r.scenario, "rep": r.rep, "series_id": f"{r.scenario}#{r.rep}", "pos": np.arange(len(x)), "value": x})
 
     return each.mapInPandas(run, out)
+
+
+def default_evi(spark: SparkSession, n_obs: int = 365, reps: int = 100) -> DataFrame:
+    """Severity grid: the whole range of tail indices on a few extremal indices."""
+    return scenarios(spark, FAMILIES, EVI_XI, EVI_THETA, n_obs, reps)
+
+
+def default_ei(spark: SparkSession, n_obs: int = 365, reps: int = 100) -> DataFrame:
+    """Persistence grid: the whole range of extremal indices on a few tail indices."""
+    return scenarios(spark, FAMILIES, EI_XI, EI_THETA, n_obs, reps)
+
+
+def stress(spark: SparkSession, n_obs: int = 365, reps: int = 100) -> DataFrame:
+    """Slowly converging family for the appendix."""
+    return scenarios(spark, (STRESS,), STRESS_XI, STRESS_THETA, n_obs, reps, "stress")
+
+
+def expected_groups(table: DataFrame) -> dict[str, list]:
+    """Distinct attributes of a scenario table, sorted: the contract that results on it must meet."""
+    names = ("family", "xi_true", "theta_true", "n_obs")
+    row = table.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in names)).first()
+    return {c: list(row[c]) for c in names}

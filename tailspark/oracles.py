@@ -509,3 +509,13 @@ SQL["q_ei_window_variants"] = (
     + "SELECT series_id, rank, window_lo, window_hi, round(exp(-z), 6) AS theta, round(exp(-(z + 1.96 * se)), 6) AS theta_lo, round(exp(-(z - 1.96 * se)), 6) AS theta_hi FROM ("
     "SELECT r.series_id, CAST(r.rank AS INTEGER) AS rank, r.window_lo, r.window_hi, avg(p.z) AS z, stddev_samp(p.z) / sqrt(count(*)) AS se FROM rk r JOIN p ON r.series_id = p.series_id AND p.i >= r.start AND p.i < r.stop WHERE r.rank <= 3 GROUP BY ALL)"
 )
+
+
+def _more() -> None:
+    from tailspark import report_oracles
+
+    SQL.update(report_oracles.SQL)
+    SQL["q_frozen_sites"] = report_oracles.frozen(SQL["q_rank_candidates"])
+
+
+_more()

@@ -119,6 +119,46 @@ def plot_data(points: DataFrame, fit: DataFrame) -> DataFrame:
     return met.select("series_id", "b", "x", "y", F.col("b").between(F.col("b_lo"), F.col("b_hi")).alias("on_plateau"), (F.col("intercept") + F.col("xi") * F.col("x")).alias("fitted"))
 
 
+def selection_sensitivity(evi_days: DataFrame, ei_days: DataFrame, k: int = 3, reps: int = resample.REPS) -> DataFrame:
+    """Per series: the headline tail and extremal index, and their range over the ``k`` best windows."""
+    evi = evi_window_fits(evi_days, k, reps).groupBy("series_id").agg(F.max(F.when(F.col("rank") == 1, F.col("xi"))).alias("xi"), F.min("xi").alias("xi_min"), F.max("xi").alias("xi_max"), F.count("*").alias("n_windows"))
+    ei = ei_window_fits(ei_days, k, reps).groupBy("series_id").agg(F.max(F.when(F.col("rank") == 1, F.col("theta"))).alias("theta"), F.min("theta").alias("theta_min"), F.max("theta").alias("theta_max"))
+    return evi.join(ei, "series_id", "left")
+
+
+def path_plot_data(values: DataFrame, base: str = "northrop", is_sliding: bool = True) -> DataFrame:
+    """Rows of an extremal-index plot: log block size, theta, and whether the point lies in the stable window.
+
+    Series without any finite point have no row.
+    """
+    rows = persistence.path(values, base, is_sliding)
+    window = persistence.stable(rows).select("series_id", "window_lo", "window_hi")
+    met = rows.filter("z IS NOT NULL AND NOT isnan(z)").join(window, "series_id", "left")
+    return met.select("series_id", "b", F.ln(F.col("b").cast("double")).alias("x"), "theta", F.coalesce(F.col("b").between(F.col("window_lo"), F.col("window_hi")), F.lit(False)).alias("in_window"))
+
+
+def reported(rows: DataFrame, keys: list[str], column: str = "series_id") -> DataFrame:
+    """Rows of the report's applications, with their place in its order."""
+    return score.in_order(rows, column, keys, keep_others=False)
+
+
+def build(role_rows: DataFrame, folder: str, reps: int = resample.REPS) -> dict[str, str]:
+    """All application tables from prepared series in their roles, written below ``folder``; the paths, also as a manifest table."""
+    role = lambda name: role_rows.filter(F.col("role") == name).select("series_id", "ts", "value")
+    evi, ei = role("evi"), role("ei")
+    tables = {
+        "summary": summary(evi, ei, reps), "design_life": design_life_rows(evi), "methods": method_rows(evi, reps), "ei_methods": ei_fits(ei, reps, zeros=False),
+        "windows": window_sensitivity(ei), "selection": selection_sensitivity(evi, ei, reps=reps), "screening": screened(evi, min_years=5),
+    }
+    paths = {}
+    for name, table in tables.items():
+        paths[name] = f"{folder}/{name}"
+        table.write.mode("overwrite").parquet(paths[name])
+    spark = role_rows.sparkSession
+    spark.createDataFrame(sorted(paths.items()), "table string, path string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return paths
+
+
 #: Characters that LaTeX reads as commands.
 _LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
 

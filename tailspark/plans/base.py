@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +31,9 @@ def status_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest order by status and day."""
     df = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderdate", "o_totalprice")
     return series.daily(df, F.col("o_orderstatus"), F.col("o_orderdate"), F.col("o_totalprice"), F.max)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the cluster's shared folder; where none is named, as in tests, below the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

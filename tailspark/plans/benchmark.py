@@ -133,15 +133,48 @@ def stress_suite(spark: SparkSession, reps: int = 100) -> DataFrame:
     return score.summary(evaluate_evi(table))
 
 
-def load_or_build(spark: SparkSession, path: str, columns: set[str], expected: dict[str, list], build) -> DataFrame:
-    """The table at ``path`` if it is readable and meets the contract, else a fresh one written there."""
-    from pyspark.errors import AnalysisException
+def load_or_build(spark: SparkSession, path: str, columns: set[str], expected: dict[str, list], build, version: int = 1) -> DataFrame:
+    """The table at ``path`` if it is readable, of this version and meets the contract, else a fresh one written there.
+
+    A damaged or outdated table is replaced; replacing swaps whole files, so a reader sees one or the other.
+    """
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     try:
         kept = spark.read.parquet(path)
-        if contract_ok(kept, columns, expected):
-            return kept
-    except AnalysisException:
+        if contract_ok(kept, columns | {"cache_version"}, expected | {"cache_version": [version]}):
+            return kept.drop("cache_version")
+    except (PySparkException, Py4JJavaError):  # damaged footers come as the latter
         pass
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    build().withColumn("cache_version", F.lit(version)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).drop("cache_version")
+
+
+def series_bank(spark: SparkSession, table: DataFrame, path: str, version: int = 1) -> DataFrame:
+    """Simulated series of a scenario table, kept at ``path`` while scenarios and lengths stay the same."""
+    rows = simulate.simulate(table)
+    wanted = [r["scenario"] for r in table.select("scenario").distinct().collect()]  # a scenario table is small
+    return load_or_build(spark, path, {"series_id", "pos", "value"}, {"scenario": wanted}, lambda: rows, version)
+
+
+def path_covariance(series: DataFrame, windows: DataFrame, path: str, reps: int = resample.REPS, seed: int = 7) -> DataFrame:
+    """Covariance of path draws at ``path``, valid only while the selected levels (``windows`` with part) are the same."""
+    spark = series.sparkSession
+    levels = [r["b"] for r in windows.select(F.explode("part.b").alias("b")).distinct().collect()]  # block sizes: some tens
+    drawn = resample.path_draws(series, windows.select("series_id", F.explode("part.b").alias("b")), reps, seed)
+    return load_or_build(spark, path, {"series_id", "b1", "b2", "cov", "reps"}, {"b1": levels}, lambda: resample.covariance_table(drawn, "z"), version=reps)
+
+
+def outputs(spark: SparkSession, folder: str, table: DataFrame, kind: str = "evi", n_obs: int = 365, **kwargs) -> dict[str, DataFrame]:
+    """Replicate-level results and their summary, kept under ``folder`` while they match the scenario table.
+
+    Names end in the record length unless it is the usual 365.
+    """
+    suffix = "" if n_obs == 365 else f"_{n_obs}"
+    groups = {k: v for k, v in simulate.expected_groups(table).items() if k != "n_obs"}
+    work = {"evi": (evaluate_evi, score.summary), "external": (evaluate_external, score.summary), "ei": (evaluate_ei, lambda r: score.summary(r, hat="theta_hat"))}
+    evaluate, summarise = work[kind]
+    results = load_or_build(spark, f"{folder}/{kind}_results{suffix}", {"method", "rep"}, groups, lambda: evaluate(table, **kwargs))
+    summary = load_or_build(spark, f"{folder}/{kind}_summary{suffix}", {"method", "coverage"}, groups, lambda: summarise(results))
+    return {"results": results, "summary": summary}

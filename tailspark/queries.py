@@ -504,3 +504,6 @@ def q_application_summary(spark, d):
 
     days = status_days(spark, d)
     return application.summary(days, days, reps=40)
+
+
+from tailspark import report_queries  # noqa: E402, F401
