@@ -66,21 +66,21 @@ def summarise(maxima: DataFrame, target: str, tau: float = TAU) -> DataFrame:
 def curve(series: DataFrame, grid: DataFrame, is_sliding: bool = True, target: str = "quantile", tau: float = TAU, engine: str | None = None) -> DataFrame:
     """(series_id, b, n_blocks, value, is_positive): a summary of block maxima for each block size.
 
-    ``engine`` is ``native`` or ``arrow``; by default sliding curves of series that fit a task
-    go through the kernel, all others through the native operators.  Both give the same values.
+    ``engine`` is ``arrow`` (the default for sliding windows: kernels on chunks) or ``native``
+    (frames and ranks); disjoint blocks are one native aggregate.  Both give the same values.
     """
     if target not in ("quantile", "mean", "mode"):
         raise ValueError(f"Unsupported target: {target}")
-    if engine == "arrow" or (engine is None and is_sliding and kernels.fits(series)):
-        rows = kernels.curve(series, grid, is_sliding, target, [tau])
+    if is_sliding and engine != "native":
+        rows = kernels.curve(series, grid, target, [tau])
         return rows.select("series_id", "b", "n_blocks", "value", F.coalesce(F.col("value") > 0, F.lit(False)).alias("is_positive"))
     return curve_of(windows.on_grid(series, grid, is_sliding), grid, target, tau)
 
 
 def quantile_curves(series: DataFrame, grid: DataFrame, taus: list[float], is_sliding: bool = True) -> DataFrame:
     """(series_id, b, tau, value) of several quantiles in one pass."""
-    if is_sliding and kernels.fits(series):
-        return kernels.curve(series, grid, is_sliding, "quantile", taus).select("series_id", "b", "tau", "value")
+    if is_sliding:
+        return kernels.curve(series, grid, "quantile", taus).filter("n_blocks > 0").select("series_id", "b", "tau", "value")
     return quantiles_by_rank(windows.on_grid(series, grid, is_sliding), ["series_id", "b"], taus)
 
 

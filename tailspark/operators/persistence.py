@@ -37,11 +37,24 @@ def statistics(values: DataFrame, grid: DataFrame, base: str, is_sliding: bool)
     return minima.select("series_id", "b", (F.col("b") * F.col("m")).alias("s"))
 
 
+def _score_means(values: DataFrame, grid: DataFrame, base: str, is_sliding: bool) -> DataFrame:
+    """(series_id, b, n_stat, mean_stat) from counts of window maxima: scores fall as values rise, so a window's least
+    score is the score of its largest value, and only distinct maxima need a place in the distribution."""
+    if is_sliding:
+        counts = kernels.maxima_counts(values, grid)
+    else:
+        counts = windows.disjoint_on_grid(values, grid).groupBy("series_id", "b", F.col("m").alias("value")).agg(F.count("*").alias("n"))
+    f = windows.ecdf_values(values)
+    clipped = intervals.clip(F.col("f"), TINY, 1 - TINY)
+    s = F.col("b") * (-F.ln(clipped) if base == "northrop" else 1 - clipped)
+    return counts.join(f, ["series_id", "value"]).groupBy("series_id", "b").agg(F.sum("n").alias("n_stat"), (F.sum(s * F.col("n")) / F.sum("n")).alias("mean_stat"))
+
+
 def path(values: DataFrame, base: str, is_sliding: bool, grid: DataFrame | None = None, engine: str | None = None) -> DataFrame:
     """(series_id, base_path, sliding, b, n_stat, mean_stat, theta, eir, z) of prepared values; ``engine`` as for curves."""
     grid = grid_table(values) if grid is None else grid
-    if engine == "arrow" or (engine is None and is_sliding and kernels.fits(values)):
-        stat = kernels.path_means(values, grid, base, is_sliding)
+    if engine != "native":
+        stat = _score_means(values, grid, base, is_sliding)
     else:
         stat = statistics(values, grid, base, is_sliding).groupBy("series_id", "b").agg(F.count("*").alias("n_stat"), F.avg("s").alias("mean_stat"))
     if base == "northrop":

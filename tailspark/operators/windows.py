@@ -90,12 +90,42 @@ def circular(series: DataFrame, width: int) -> DataFrame:
     return both.filter(F.col("pos") < F.col("n")).select("series_id", "pos", "m")
 
 
+#: Most ranges that the values of one series are dealt to.
+RANGES = 1_024
+
+
+def _ranged(counts: DataFrame, total: DataFrame) -> DataFrame:
+    """Adds ``range``, the place of a value among about even splits of its series' values; short series have one range."""
+    splits = total.select(F.col("series_id").alias("own"), "n", "splits")
+    met = counts.join(splits, F.col("series_id") == F.col("own")).drop("own")
+    return met.withColumn("range", F.size(F.filter("splits", lambda s: s < F.col("value")))).drop("splits")
+
+
+def ecdf_values(series: DataFrame) -> DataFrame:
+    """(series_id, value, f): the empirical distribution at each distinct finite value.
+
+    Values are counted, dealt to ranges of their series (by approximate quantiles, at most
+    ``RANGES``), summed up within each range, and moved by the counts of the ranges below.
+    """
+    finite = series.filter("value IS NOT NULL")
+    n = finite.groupBy("series_id").agg(F.count("*").alias("n"), F.percentile_approx("value", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 4 * RANGES).alias("all"))
+    step = F.greatest(F.lit(1), F.least(F.lit(RANGES), F.ceil(F.lit(RANGES) * CHUNK / F.col("n")))).cast("int")
+    total = n.select("series_id", "n", F.filter(F.col("all"), lambda s, i: (i + 1) % step == 0).alias("splits"))
+    counts = _ranged(finite.groupBy("series_id", "value").agg(F.count("*").alias("c")), total)
+    sums = counts.groupBy("series_id", "range").agg(F.sum("c").alias("s"))
+    below = Window.partitionBy("series_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("series_id").alias("own"), F.col("range").alias("r"), F.coalesce(F.sum("s").over(below), F.lit(0)).alias("base"))
+    within = Window.partitionBy("series_id", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("upto", F.sum("c").over(within)).join(base, (F.col("series_id") == F.col("own")) & (F.col("range") == F.col("r")))
+    f = F.when(F.col("n") == 1, F.lit(1.0)).otherwise((F.col("base") + F.col("upto")) / (F.col("n") + 1))
+    return placed.select("series_id", "value", f.alias("f"))
+
+
 def ecdf(series: DataFrame) -> DataFrame:
     """Adds f, the share of finite values up to a value, of n + 1; a single value counts as 0 below and 1 from it on."""
-    w = Window.partitionBy("series_id").orderBy("value")
-    n = F.count("value").over(Window.partitionBy("series_id"))
-    upto = F.count("value").over(w.rangeBetween(Window.unboundedPreceding, 0))
-    return series.filter("value IS NOT NULL").withColumn("f", F.when(n == 1, F.lit(1.0)).otherwise(upto / (n + 1)))
+    f = ecdf_values(series).select(F.col("series_id").alias("own"), F.col("value").alias("v"), "f")
+    finite = series.filter("value IS NOT NULL")
+    return finite.join(f, (finite["series_id"] == F.col("own")) & (finite["value"] == F.col("v"))).drop("own", "v")
 
 
 def ecdf_at(series: DataFrame, points: DataFrame) -> DataFrame:

@@ -8,18 +8,36 @@ from pyspark.sql import functions as F
 from tailspark.contracts import finite
 
 
-def ordered(df: DataFrame, key: Column, order: list, value: Column) -> DataFrame:
-    """A series per key, numbered by ``order`` (which must be a total order)."""
-    w = Window.partitionBy("series_id").orderBy(*order)
+#: Positions that are renumbered together.
+CHUNK = 65_536
+
+
+def placed(df: DataFrame, order: list, part: Column) -> DataFrame:
+    """Adds ``pos``, the row's number in its series by ``order``; ``part`` rises with the order and cuts a series into pieces.
+
+    Pieces are counted first, then rows are numbered within their piece and moved by the pieces
+    before: no task sorts more than a piece.
+    """
+    cut = df.withColumn("__part", part)
+    sums = cut.groupBy("series_id", "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("series_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("series_id").alias("__own"), F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("series_id", "__part").orderBy(*order)
+    met = cut.withColumn("__row", F.row_number().over(within)).join(base, F.col("series_id").eqNullSafe(F.col("__own")) & F.col("__part").eqNullSafe(F.col("__of")))
+    return met.withColumn("__pos", (F.col("__base") + F.col("__row") - 1).cast("long")).drop("__part", "__own", "__of", "__base", "__row")
+
+
+def ordered(df: DataFrame, key: Column, order: list, value: Column, part: Column | None = None) -> DataFrame:
+    """A series per key, numbered by ``order`` (which must be a total order); pieces are the days of its first column, or ``part``."""
+    first = F.col(order[0]) if isinstance(order[0], str) else order[0]
     named = df.withColumn("series_id", key.cast("string")).withColumn("value", finite(value))
-    return named.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), "value")
+    return placed(named, order, first.cast("date") if part is None else part).select("series_id", F.col("__pos").alias("pos"), "value")
 
 
 def compress(series: DataFrame, zeros: bool = False) -> DataFrame:
     """Positive (or non-negative) values only, positions renumbered without gaps."""
     kept = series.filter(F.col("value") >= 0 if zeros else F.col("value") > 0)
-    w = Window.partitionBy("series_id").orderBy("pos")
-    return kept.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), "value")
+    return placed(kept, ["pos"], F.floor(F.col("pos") / CHUNK)).select("series_id", F.col("__pos").alias("pos"), "value")
 
 
 def daily(df: DataFrame, key: Column, ts: Column, value: Column, how=F.sum) -> DataFrame:
@@ -39,8 +57,7 @@ def zero_filled(days: DataFrame) -> DataFrame:
 
 
 def numbered(days: DataFrame) -> DataFrame:
-    w = Window.partitionBy("series_id").orderBy("ts")
-    return days.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), "value", "ts")
+    return placed(days, ["ts"], F.year("ts")).select("series_id", F.col("__pos").alias("pos"), "value", "ts")
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list) -> DataFrame:

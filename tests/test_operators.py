@@ -264,3 +264,38 @@ def test_engines_agree(make_series, is_sliding):
     for base in ("northrop", "bb"):
         a, b = (rows(persistence.path(v, base, is_sliding, engine=e), "series_id", "b", "n_stat", "z") for e in ("native", "arrow"))
         assert [r[:3] for r in a] == [r[:3] for r in b] and [r[3] for r in a] == pytest.approx([r[3] for r in b])
+
+
+def test_pieces_of_series_join_without_a_seam(make_series, monkeypatch):
+    """Chunks, ranges and pieces so small that every series has many of them."""
+    from tailspark.operators import kernels
+
+    monkeypatch.setattr(kernels, "CHUNK", 40)
+    monkeypatch.setattr(windows, "CHUNK", 16)
+    monkeypatch.setattr(series, "CHUNK", 50)
+    x = [None if i % 61 == 9 else round(v, 1) for i, v in enumerate(pareto(700, 1.0, 5))]
+    s = make_series(a=x, b=pareto(90, 1.0, 3))
+    kept = [v for v in x if v is not None and v > 0]
+    assert [r[1] for r in sorted(rows(series.compress(s).filter("series_id = 'a'"), "pos", "value"))] == kept
+    f = {r[0]: r[1] for r in rows(windows.ecdf_values(s).filter("series_id = 'a'"), "value", "f")}
+    assert f == pytest.approx({v: sum(w <= v for w in kept) / (len(kept) + 1) for v in kept})
+    grid = grid_table(s)
+    for target, tau in (("quantile", 0.7), ("mean", 0.5)):
+        a, b = (rows(curves.curve(s, grid, True, target, tau, e), "series_id", "b", "n_blocks", "value") for e in ("native", "arrow"))
+        assert [r[:3] for r in a] == [r[:3] for r in b] and [r[3] for r in a] == pytest.approx([r[3] for r in b])
+    v = persistence.prepared(s)
+    for is_sliding in (True, False):
+        a, b = (rows(persistence.path(v, "northrop", is_sliding, engine=e), "series_id", "b", "n_stat", "z") for e in ("native", "arrow"))
+        assert [r[:3] for r in a] == [r[:3] for r in b] and [r[3] for r in a] == pytest.approx([r[3] for r in b])
+
+
+def test_wide_windows_meet_chunk_ends(make_series):
+    x = pareto(70_000, 1.0, 8)
+    s = make_series(a=x)
+    grid = s.sparkSession.createDataFrame([("a", 10), ("a", 500)], "series_id string, b long")
+    got = {r[0]: (r[1], r[2]) for r in rows(curves.curve(s, grid, True, "mean"), "b", "n_blocks", "value")}
+    import numpy as np
+
+    for b in (10, 500):
+        m = np.lib.stride_tricks.sliding_window_view(np.array(x), b).max(axis=1)
+        assert got[b] == (len(m), pytest.approx(m.mean()))
