@@ -8,8 +8,8 @@ row each, such a window shares a band with its template with probability 1 - 0.7
 Templates that share a band with a window, and only those, are then verified: the share of the
 template's shingles in the window.
 
-Every template shingle holds an *anchor* word (``anchors``).  A window without any anchor has no
-shingle of a template, and so no band in common with one: it is passed over before it is hashed.
+Some of each template's shingles hold an *anchor* word (``anchors``), so many that a window
+which verifies must hold one.  Windows without any are passed over before they are hashed.
 
 Scale: map-only; one row in, one row out; windows are made one at a time, so that a long text
 takes little more memory than its words.
@@ -107,14 +107,18 @@ def _plain_words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.translate({c: c + 32 for c in range(65, 91)}))
 
 
-def anchors(templates: dict[str, str]) -> list[str]:
-    """Words such that every template shingle has one: for each shingle without one, its longest word."""
+def anchors(templates: dict[str, str], containment: float = CONTAINMENT) -> list[str]:
+    """Long words such that fewer than ``containment`` of any template's distinct shingles are without one.
+
+    A window that holds ``containment`` of a template therefore holds an anchor.
+    """
     chosen: set[str] = set()
     for text in templates.values():
         ws = _plain_words(text)
-        for i in range(len(ws) - SHINGLE + 1):
-            if not chosen & set(ws[i : i + SHINGLE]):
-                chosen.add(max(ws[i : i + SHINGLE], key=lambda w: (len(w), w)))
+        shingles = {tuple(ws[i : i + SHINGLE]) for i in range(len(ws) - SHINGLE + 1)}
+        more = sorted(set(ws) - chosen, key=lambda w: (len(w), w))
+        while shingles and more and sum(not chosen & set(x) for x in shingles) >= containment * len(shingles):
+            chosen.add(more.pop())
     return sorted(chosen)
 
 
@@ -176,7 +180,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     """
     known = _prepared(docs.sparkSession, templates)
     kind = "array<struct<name:string,first:bigint,words:bigint,containment:double>>"
-    listed = anchors(templates)
+    listed = anchors(templates, containment)
     spotted = F.arrays_overlap("w", F.array(*map(F.lit, listed))) if known else F.lit(False)
     base = docs.select("doc_id", words_of(F.col("text")).alias("w"))
     base = base.select("doc_id", F.when(spotted, F.col("w")).otherwise(F.array().cast("array<string>")).alias("w"))
