@@ -100,12 +100,12 @@ def links(distinct: DataFrame) -> DataFrame:
     a, b = keys("a"), keys("b")
     x = F.col("a").bitwiseXOR(F.col("b"))
     mask = sum((F.when(byte(x, i) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(8)), F.lit(0))
-    shared = F.bit_count(mask)
-    first = F.element_at(F.array(*map(F.lit, FIRST)), mask + 1)
-    return a.join(
-        b,
-        (a["post"] == b["post"]) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_BITS) & (shared >= MIN_SHARED) & (first == F.shiftrightunsigned(a["post"], 24).cast("int")),
-    ).select("a", "b")
+    met = a.join(b, (a["post"] == b["post"]) & (F.col("a") < F.col("b"))).select("a", "b", a["post"].alias("post"), mask.alias("mask"))
+    # a pair counts once, in the list of the first triple that it shares
+    first = F.element_at(F.array(*map(F.lit, FIRST)), F.col("mask") + 1) == F.shiftrightunsigned("post", 24).cast("int")
+    tallied = met.filter(first).select("a", "b", F.bit_count("mask").alias("tally"))
+    retained = tallied.filter(F.col("tally") >= MIN_SHARED)
+    return retained.filter(F.bit_count(x) <= MAX_BITS).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
