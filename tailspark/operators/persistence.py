@@ -37,39 +37,51 @@ def statistics(values: DataFrame, grid: DataFrame, base: str, is_sliding: bool)
     return minima.select("series_id", "b", (F.col("b") * F.col("m")).alias("s"))
 
 
-def _score_means(values: DataFrame, grid: DataFrame, base: str, is_sliding: bool) -> DataFrame:
-    """(series_id, b, n_stat, mean_stat) from counts of window maxima: scores fall as values rise, so a window's least
-    score is the score of its largest value, and only distinct maxima need a place in the distribution."""
+def _score_means(values: DataFrame, grid: DataFrame, is_sliding: bool) -> DataFrame:
+    """(series_id, b, n_stat, northrop, bb): mean statistics of both paths from counts of window maxima.
+
+    Scores fall as values rise, so a window's least score is the score of its largest value, and
+    only distinct maxima need a place in the distribution.
+    """
     if is_sliding:
         counts = kernels.maxima_counts(values, grid)
     else:
         counts = windows.disjoint_on_grid(values, grid).groupBy("series_id", "b", F.col("m").alias("value")).agg(F.count("*").alias("n"))
-    f = windows.ecdf_values(values)
     clipped = intervals.clip(F.col("f"), TINY, 1 - TINY)
-    s = F.col("b") * (-F.ln(clipped) if base == "northrop" else 1 - clipped)
-    return counts.join(f, ["series_id", "value"]).groupBy("series_id", "b").agg(F.sum("n").alias("n_stat"), (F.sum(s * F.col("n")) / F.sum("n")).alias("mean_stat"))
+    means = {"northrop": -F.ln(clipped), "bb": 1 - clipped}
+    met = counts.join(windows.ecdf_values(values), ["series_id", "value"]).groupBy("series_id", "b")
+    return met.agg(F.sum("n").alias("n_stat"), *((F.col("b") * F.sum(score * F.col("n")) / F.sum("n")).alias(base) for base, score in means.items()))
+
+
+def _as_path(stat: DataFrame, base: Column, is_sliding: bool) -> DataFrame:
+    """theta, its inverse and its logarithm from the mean statistic of a path."""
+    mean = F.greatest("mean_stat", F.lit(TINY))
+    bb = intervals.clip(1 / mean - 1 / F.col("b"))
+    eir = F.when(base == "northrop", F.greatest("mean_stat", F.lit(1.0))).otherwise(1 / bb)
+    theta = F.when(base == "northrop", 1 / F.greatest("mean_stat", F.lit(1.0))).otherwise(bb)
+    return stat.select("series_id", base.alias("base_path"), F.lit(is_sliding).alias("sliding"), "b", "n_stat", "mean_stat", theta.alias("theta"), eir.alias("eir"), F.ln(eir).alias("z"))
 
 
 def path(values: DataFrame, base: str, is_sliding: bool, grid: DataFrame | None = None, engine: str | None = None) -> DataFrame:
     """(series_id, base_path, sliding, b, n_stat, mean_stat, theta, eir, z) of prepared values; ``engine`` as for curves."""
     grid = grid_table(values) if grid is None else grid
     if engine != "native":
-        stat = _score_means(values, grid, base, is_sliding)
+        stat = _score_means(values, grid, is_sliding).withColumnRenamed(base, "mean_stat")
     else:
         stat = statistics(values, grid, base, is_sliding).groupBy("series_id", "b").agg(F.count("*").alias("n_stat"), F.avg("s").alias("mean_stat"))
-    if base == "northrop":
-        eir = F.greatest("mean_stat", F.lit(1.0))
-        theta = 1 / eir
-    else:
-        theta = intervals.clip(1 / F.greatest("mean_stat", F.lit(TINY)) - 1 / F.col("b"))
-        eir = 1 / theta
-    return stat.select("series_id", F.lit(base).alias("base_path"), F.lit(is_sliding).alias("sliding"), "b", "n_stat", "mean_stat", theta.alias("theta"), eir.alias("eir"), F.ln(eir).alias("z"))
+    return _as_path(stat, F.lit(base), is_sliding)
 
 
 def paths(values: DataFrame, keys=PATHS) -> DataFrame:
-    """The requested paths, one below the other."""
+    """The requested paths, one below the other; both paths of a scheme come from one pass over its windows."""
     grid = grid_table(values)
-    return reduce(DataFrame.unionByName, (path(values, base, s, grid) for base, s in keys))
+    parts = []
+    for is_sliding in sorted({s for _, s in keys}):
+        bases = [b for b, s in keys if s == is_sliding]
+        each = F.explode(F.array(*(F.struct(F.lit(b).alias("base"), F.col(b).alias("mean")) for b in bases))).alias("x")
+        stat = _score_means(values, grid, is_sliding).select("series_id", "b", "n_stat", each).select("series_id", "b", "n_stat", F.col("x.base").alias("base"), F.col("x.mean").alias("mean_stat"))
+        parts.append(_as_path(stat, F.col("base"), is_sliding))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def path_points(rows: DataFrame) -> DataFrame:
