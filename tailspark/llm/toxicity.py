@@ -33,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tailspark.llm.common import WORD_TABLE, one_thread_a_task, settle, store, table, utf8
+from tailspark.llm.common import WORD_TABLE, free_name, one_thread_a_task, settle, store, table, utf8
 
 #: Bound on the labelled rows that the classifier is fitted on.
 MAX_EXAMPLES = 20_000
@@ -109,17 +110,24 @@ def _decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _likeness(head: np.ndarray) -> np.ndarray:
     """Order of examples in which like ones are neighbours: groups about moving centres, sparse examples first."""
     n = len(head)
-    size = (head > 0).sum(axis=1)
+    size = np.concatenate([np.zeros(0, np.int64), *((head[a : a + CHUNK] > 0).sum(axis=1) for a in range(0, n, CHUNK))])
     if n <= BLOCK:
         return np.argsort(size, kind="stable")
-    unit = head / np.maximum(np.sqrt((head * head).sum(axis=1, keepdims=True)), 1e-9)
-    centres = unit[np.linspace(0, n - 1, GROUPS).astype(int)]
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        rows = rows.astype(np.float32)
+        return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-9)
+
+    centres = unit(head[np.linspace(0, n - 1, GROUPS).astype(int)])
+    group = np.zeros(n, dtype=np.int64)
     for _ in range(MOVES):
-        group = (unit @ centres.T).argmax(axis=1)
-        for g in range(GROUPS):
-            if (group == g).any():
-                centres[g] = unit[group == g].mean(axis=0)
-        centres /= np.maximum(np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 1e-9)
+        total = np.zeros_like(centres)
+        for a in range(0, n, CHUNK):
+            rows = unit(head[a : a + CHUNK])
+            group[a : a + CHUNK] = (rows @ centres.T).argmax(axis=1)
+            np.add.at(total, group[a : a + CHUNK], rows)
+        met = np.bincount(group, minlength=GROUPS) > 0
+        centres[met] = unit(total[met])
     return np.lexsort((size, group))
 
 
@@ -180,21 +188,28 @@ class Model:
         return state | {k: _pack(x) for k, x in (("step", step), ("times", self.times))} | {"words": _pack(np.frombuffer(b"\n".join(self.vocab), np.uint8)), "n_words": len(self.vocab)}
 
     def __setstate__(self, state: dict) -> None:
-        words, n = _unpack(state.pop("words")).tobytes(), state.pop("n_words")
-        self.vocab = {w: i for i, w in enumerate(words.split(b"\n"))} if n else {}
+        self.packed = state.pop("words"), state.pop("n_words")
         self.feature = np.cumsum(_unpack(state.pop("step")), dtype=np.int32)
         self.times = _unpack(state.pop("times"))
         self.vectors = []
         self.__dict__.update(state)
         self._forget()
 
+    def __getattr__(self, name: str):
+        """The vocabulary of a model that was sent is made where a text is looked up, and nowhere else."""
+        if name == "vocab" and "packed" in self.__dict__:
+            words, n = self.packed
+            self.vocab = {w: i for i, w in enumerate(_unpack(words).tobytes().split(b"\n"))} if n else {}
+            return self.vocab
+        raise AttributeError(name)
+
     def _weights(self, at) -> np.ndarray:
         """Weights of entries of the examples, before they are divided by their example's norm."""
         return self.value[at] if self.times is None else self.logs[self.times[at]] * self.idf[self.feature[at]]
 
     def _index(self) -> None:
         """Matrix of the most frequent features, lists of the others; made from a few hundred examples at a time."""
-        n, v = len(self.labels), len(self.vocab)
+        n, v = len(self.labels), len(self.idf)
         parts = [(e, min(e + CHUNK, n)) for e in range(0, n, CHUNK)]
         self.logs = None if self.times is None else np.concatenate(([0.0], 1 + np.log(np.arange(1, 1 + int(self.times.max(initial=0))))))
         self.df = sum((np.bincount(self.feature[self.first[a] : self.first[b]], minlength=v) for a, b in parts), np.zeros(v, dtype=np.int64))
@@ -204,7 +219,7 @@ class Model:
         rare = np.where(self.place < 0, self.df, 0)
         self.at = np.concatenate(([0], np.cumsum(rare)))
         self.norm, self.scratch = np.ones(n), np.zeros(v)
-        head = np.zeros((n, len(often)), dtype=np.float32)
+        head = np.zeros((n, len(often)), dtype=np.float16)  # for the order only
         for a, b in parts:
             span = slice(self.first[a], self.first[b])
             fs, ws, own = self.feature[span], self._weights(span), np.repeat(np.arange(a, b), np.diff(self.first[a : b + 1]))
@@ -217,9 +232,9 @@ class Model:
         spot = np.empty(n, dtype=np.int64)
         spot[self.order] = np.arange(n)
         blocks = -(-n // BLOCK)
+        del head
         self.head = np.zeros((blocks, BLOCK, len(often)), dtype=np.float32)
-        self.head.reshape(blocks * BLOCK, len(often))[:n] = head[self.order]
-        self.top = self.head.max(axis=1) if blocks else np.zeros((0, len(often)), dtype=np.float32)
+        flat = self.head.reshape(blocks * BLOCK, len(often))
         self.spot = spot
         # a posting is the example's spot and, in the upper half, the bits of its weight
         self.posting = np.zeros(self.at[-1], dtype=np.uint64)
@@ -227,13 +242,16 @@ class Model:
         for a, b in parts:
             span = slice(self.first[a], self.first[b])
             fs, own = self.feature[span], np.repeat(np.arange(a, b), np.diff(self.first[a : b + 1]))
-            rest = np.flatnonzero(self.place[fs] < 0)
+            column, ws = self.place[fs], (self._weights(span) / self.norm[own]).astype(np.float32)
+            flat[spot[own[column >= 0]], column[column >= 0]] = ws[column >= 0]
+            rest = np.flatnonzero(column < 0)
             rest = rest[np.argsort(fs[rest], kind="stable")]
-            ws = (self._weights(span)[rest] / self.norm[own[rest]]).astype(np.float32)
+            ws = ws[rest]
             kinds, begin, sizes = np.unique(fs[rest], return_index=True, return_counts=True)
             to = np.arange(len(rest)) + np.repeat(free[kinds] - begin, sizes)
             self.posting[to] = ws.view(np.uint32).astype(np.uint64) << 32 | spot[own[rest]].astype(np.uint64)
             free[kinds] += sizes
+        self.top = self.head.max(axis=1) if blocks else np.zeros((0, len(often)), dtype=np.float32)
 
     def example_vector(self, e: int) -> tuple[np.ndarray, np.ndarray]:
         span = slice(self.first[e], self.first[e + 1])
@@ -423,22 +441,22 @@ def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[byt
     return vocab, plain + (1 - plain) * share
 
 
-def _coded(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
-    """doc_id and the features of every text, as ``code`` (empty where a text has none)."""
+def _coded(docs: DataFrame, vocab: dict[bytes, int], code: str = "code") -> DataFrame:
+    """``docs`` with the features of every text in a binary column ``code`` (empty where a text has none)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    base = docs.select("doc_id", "text")
+    at, names = docs.columns.index("text"), [*docs.columns, code]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         starts = _starts(known)
         for batch in batches:
-            codes = [_code(*_occurrences(features(x), known, starts)) for x in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["doc_id", "code"])
+            codes = [_code(*_occurrences(features(x), known, starts)) for x in utf8(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], names)
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, code binary")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(code, BinaryType())]))
 
 
-def _document_frequency(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
+def _document_frequency(coded: DataFrame, code: str, size: int) -> tuple[np.ndarray, int]:
     """In how many of all documents each of ``size`` features occurs, and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +478,7 @@ def _document_frequency(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(df[part])], ["feature", "n"])
 
     out = np.zeros(size + 1, dtype=np.int64)
-    found = coded.select("code").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    found = coded.select(code).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     out[found["feature"].to_numpy()] = found["n"].to_numpy()
     return out[:-1], int(out[-1])
 
@@ -477,14 +495,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     return _fit(docs, labels, max_examples)[0]
 
 
-def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[Model, DataFrame]:
-    """The model, and the coded documents that its frequencies were counted on."""
+def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, columns: tuple = ("doc_id",), code: str = "code") -> tuple[Model, DataFrame]:
+    """The model, and the coded documents that its frequencies were counted on: ``columns``, and ``code``."""
     spark = docs.sparkSession
     one_thread_a_task(spark)
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select(F.col("doc_id").alias("label_id"), "toxic").collect()
     if not chosen:
-        return Model({}, np.zeros(0), np.zeros(0), [], []), _coded(docs, {})
+        return Model({}, np.zeros(0), np.zeros(0), [], []), _coded(docs, {}, code).select(*(F.col(f"`{c}`") for c in (*columns, code)))
     # at most max_examples rows, so that they may be broadcast
     ids = spark.createDataFrame([tuple(r) for r in chosen], f"label_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int")
     base = docs.select("doc_id", "text")
@@ -500,8 +518,9 @@ def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     names, share = _vocabulary(_counts(sample), n_toxic, n_clean)
     vocab = {w: i for i, w in enumerate(names)}
-    coded = store(_coded(docs, vocab), "toxicity-codes")
-    df, n_docs = _document_frequency(coded, len(vocab))
+    wanted = docs if "text" in columns else docs.select("doc_id", "text")
+    coded = store(_coded(wanted, vocab, code).select(*(F.col(f"`{c}`") for c in (*columns, code))), "toxicity-codes")
+    df, n_docs = _document_frequency(coded, code, len(vocab))
     model = Model(vocab, (np.log((1 + n_docs) / (1 + df)) + 1) * share, np.zeros(0), [], [])
     shared = spark.sparkContext.broadcast(model)
 
@@ -578,6 +597,24 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents that a model of their own, fitted on ``labels``, does not predict toxic; all columns and rows otherwise as they are.
+
+    The same as ``drop_toxic`` with ``fit``, but texts are looked up once, and what scores them holds no vocabulary.
+    """
+    code = free_name("code", docs.columns)
+    model, coded = _fit(docs, labels, columns=tuple(docs.columns), code=code)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    n = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [x < 0.5 for x, _ in shared.value.stream_codes(utf8(batch.column(n)))]
+            yield batch.select(list(range(n))).filter(pa.array(good, pa.bool_()))
+
+    return coded.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, coded = _fit(docs, table(spark, sf_dir, "labels"))

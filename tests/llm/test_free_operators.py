@@ -286,6 +286,9 @@ def test_held_out_scores(spark, toxic_world):
     assert any(r["evidence"] for r in held)
     kept = {r["doc_id"] for r in toxicity.drop_toxic(d, model).collect()}
     assert kept == {r["doc_id"] for r in rows if not r["predicted"]}
+    named = d.withColumn("code", F.lit("clash"))
+    same = toxicity.clean(named, lb)
+    assert same.columns == named.columns and {r["doc_id"] for r in same.filter("code = 'clash'").collect()} == kept
 
 
 def test_labels_of_held_out_rows_do_not_matter(spark, toxic_world):
