@@ -14,13 +14,21 @@ from tailspark.series import compress
 LEAST = 8
 
 
-def _ranked(series: DataFrame) -> DataFrame:
+def _positive(series: DataFrame, by_rows: bool) -> DataFrame:
+    """Positive finite values with ``size``, which sets the candidate counts: how many they are or, ``by_rows``, how many rows the series has."""
+    own = Window.partitionBy("series_id")
+    if by_rows:
+        return series.withColumn("size", F.count("*").over(own)).filter("value > 0")
+    return series.filter("value > 0").withColumn("size", F.count("*").over(own))
+
+
+def _ranked(series: DataFrame, by_rows: bool = False) -> DataFrame:
     """Positive finite values from the largest down, with running sums of logs; series of fewer than 8 have none."""
     w = Window.partitionBy("series_id").orderBy(F.desc("value"), "pos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     l = F.ln("value")  # noqa: E741
-    rows = series.filter("value > 0").select(
-        "series_id", "value", F.row_number().over(w).alias("rank"), F.count("*").over(Window.partitionBy("series_id")).alias("n"),
+    rows = _positive(series, by_rows).select(
+        "series_id", "value", "size", F.row_number().over(w).alias("rank"), F.count("*").over(Window.partitionBy("series_id")).alias("n"),
         F.sum(l).over(upto).alias("s1"), F.sum(l * l).over(upto).alias("s2"), F.lead(l).over(w).alias("below"),
     )
     return rows.filter(F.col("n") >= LEAST)
@@ -28,7 +36,7 @@ def _ranked(series: DataFrame) -> DataFrame:
 
 def _on_counts(ranked: DataFrame) -> DataFrame:
     """The rows whose rank is a candidate count: an equality test on a short array, no join."""
-    return ranked.filter(F.array_contains(tail_counts(F.col("n")), F.col("rank").cast("long"))).withColumnRenamed("rank", "k")
+    return ranked.filter(F.array_contains(tail_counts(F.col("size")), F.col("rank").cast("long"))).withColumnRenamed("rank", "k")
 
 
 def _estimate(path: DataFrame, method: str, se, width: int = 4) -> DataFrame:
@@ -41,17 +49,17 @@ def _estimate(path: DataFrame, method: str, se, width: int = 4) -> DataFrame:
     return out.select("series_id", F.lit(method).alias("method"), "xi", "level", F.col("lo").alias("window_lo"), F.col("hi").alias("window_hi"), "se", lo.alias("xi_lo"), hi.alias("xi_hi"), "path")
 
 
-def hill_path(series: DataFrame) -> DataFrame:
-    rows = _on_counts(_ranked(series))
+def hill_path(series: DataFrame, by_rows: bool = False) -> DataFrame:
+    rows = _on_counts(_ranked(series, by_rows))
     return rows.select("series_id", F.col("k").alias("level"), (F.col("s1") / F.col("k") - F.col("below")).alias("xi"))
 
 
-def hill(series: DataFrame) -> DataFrame:
-    return _estimate(hill_path(series), "hill_raw", intervals.hill_se)
+def hill(series: DataFrame, by_rows: bool = False) -> DataFrame:
+    return _estimate(hill_path(series, by_rows), "hill_raw", intervals.hill_se)
 
 
-def moment_path(series: DataFrame) -> DataFrame:
-    rows = _on_counts(_ranked(series))
+def moment_path(series: DataFrame, by_rows: bool = False) -> DataFrame:
+    rows = _on_counts(_ranked(series, by_rows))
     k, t = F.col("k"), F.col("below")
     m1 = F.col("s1") / k - t
     m2 = F.col("s2") / k - 2 * t * F.col("s1") / k + t * t
@@ -59,14 +67,14 @@ def moment_path(series: DataFrame) -> DataFrame:
     return rows.select("series_id", k.alias("level"), F.when((m2 > 0) & (F.abs(spread) >= 1e-10), m1 + 1 - F.try_divide(F.lit(0.5), spread)).alias("xi"))
 
 
-def moment(series: DataFrame) -> DataFrame:
-    return _estimate(moment_path(series), "dedh_moment_raw", intervals.moment_se)
+def moment(series: DataFrame, by_rows: bool = False) -> DataFrame:
+    return _estimate(moment_path(series, by_rows), "dedh_moment_raw", intervals.moment_se)
 
 
-def pickands_path(series: DataFrame) -> DataFrame:
+def pickands_path(series: DataFrame, by_rows: bool = False) -> DataFrame:
     w = Window.partitionBy("series_id").orderBy(F.desc("value"), "pos")
-    rows = series.filter("value > 0").select("series_id", "value", F.row_number().over(w).alias("rank"), F.count("*").over(Window.partitionBy("series_id")).alias("n")).filter(F.col("n") >= LEAST)
-    counts = tail_counts(F.col("n"))
+    rows = _positive(series, by_rows).select("series_id", "value", "size", F.row_number().over(w).alias("rank"), F.count("*").over(Window.partitionBy("series_id")).alias("n")).filter(F.col("n") >= LEAST)
+    counts = tail_counts(F.col("size"))
     each = F.filter(F.flatten(F.transform(counts, lambda k: F.transform(F.array(F.lit(1), F.lit(2), F.lit(4)), lambda m: F.struct(k.alias("k"), m.alias("m"))))), lambda x: (x["k"] * x["m"] == F.col("rank")) & (4 * x["k"] <= F.col("n")))
     met = rows.select("series_id", "value", F.explode(each).alias("x"))
     at = lambda m: F.max(F.when(F.col("x.m") == m, F.col("value")))
@@ -75,8 +83,8 @@ def pickands_path(series: DataFrame) -> DataFrame:
     return three.select("series_id", "level", F.when((up > 0) & (down > 0), F.ln(F.try_divide(up, down)) / 0.6931471805599453).alias("xi"))
 
 
-def pickands(series: DataFrame) -> DataFrame:
-    return _estimate(pickands_path(series), "pickands_raw", intervals.pickands_se)
+def pickands(series: DataFrame, by_rows: bool = False) -> DataFrame:
+    return _estimate(pickands_path(series, by_rows), "pickands_raw", intervals.pickands_se)
 
 
 def spectrum(series: DataFrame) -> DataFrame:
