@@ -104,13 +104,16 @@ def _ranged(counts: DataFrame, total: DataFrame) -> DataFrame:
 def ecdf_values(series: DataFrame) -> DataFrame:
     """(series_id, value, f): the empirical distribution at each distinct finite value.
 
-    Values are counted, dealt to ranges of their series (by approximate quantiles, at most
-    ``RANGES``), summed up within each range, and moved by the counts of the ranges below.
+    Values are counted, dealt to ranges of their series, summed up within each range, and moved
+    by the counts of the ranges below.  Ranges part at the values whose hash is a multiple of
+    ``CHUNK`` (thinned to ``RANGES`` at most): the plan reads them twice, and they must be the
+    same both times, which approximate quantiles are not where partial results meet in another order.
     """
     finite = series.filter("value IS NOT NULL")
-    n = finite.groupBy("series_id").agg(F.count("*").alias("n"), F.percentile_approx("value", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 4 * RANGES).alias("all"))
-    step = F.greatest(F.lit(1), F.least(F.lit(RANGES), F.ceil(F.lit(RANGES) * CHUNK / F.col("n")))).cast("int")
-    total = n.select("series_id", "n", F.filter(F.col("all"), lambda s, i: (i + 1) % step == 0).alias("splits"))
+    bound = F.when(F.pmod(F.xxhash64("value"), F.lit(CHUNK)) == 0, F.col("value"))
+    n = finite.groupBy("series_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(bound)).alias("all"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("all") / RANGES)).cast("int")
+    total = n.select("series_id", "n", F.filter(F.col("all"), lambda s, i: i % step == 0).alias("splits"))
     counts = _ranged(finite.groupBy("series_id", "value").agg(F.count("*").alias("c")), total)
     sums = counts.groupBy("series_id", "range").agg(F.sum("c").alias("s"))
     below = Window.partitionBy("series_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
