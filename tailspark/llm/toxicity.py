@@ -30,6 +30,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,10 +100,14 @@ def _code(fs: np.ndarray, ns: np.ndarray) -> bytes:
     return len(fs).to_bytes(4, "little") + pa.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(fs) else b""
 
 
+def _coded_size(data: bytes) -> int:
+    return int.from_bytes(data[:4], "little")
+
+
 def _decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not data:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n = int.from_bytes(data[:4], "little")
+    n = _coded_size(data)
     both = np.frombuffer(pa.decompress(data[4:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
     return np.cumsum(both[:n]), both[n:]
 
@@ -145,11 +150,20 @@ def _unpack(packed: tuple | None) -> np.ndarray | None:
     return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
 
 
+def _packed(words: pa.Array) -> tuple:
+    """Words without line ends, and how many."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b"\n")[0]
+    return _pack(np.frombuffer(joined.as_buffer(), np.uint8)), len(words)
+
+
 @dataclass
 class Model:
-    """Weights of the features, unit vectors of the examples, and the calibration of their votes."""
+    """Weights of the features, unit vectors of the examples, and the calibration of their votes.
 
-    vocab: dict[bytes, int]
+    Words may be given packed, and examples are learnt as codes: both are unpacked by those who search.
+    """
+
+    vocab: dict[bytes, int] | tuple
     idf: np.ndarray
     labels: np.ndarray
     ids: list
@@ -158,45 +172,54 @@ class Model:
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
 
     def __post_init__(self) -> None:
+        if isinstance(self.vocab, tuple):
+            self.packed = self.__dict__.pop("vocab")
+        else:
+            self.packed = _packed(pa.array(list(self.vocab), pa.binary()))
+        self.codes, self.times = None, None
         self.value = np.concatenate([np.zeros(0), *(ws for _, ws in self.vectors)]).astype(np.float64)
-        self.times = None
-        self._take([fs for fs, _ in self.vectors])
+        self.first = np.concatenate(([0], np.cumsum([len(fs) for fs, _ in self.vectors], dtype=np.int64))).astype(np.int64)
+        self.feature = np.concatenate([np.zeros(0, np.int32), *(fs for fs, _ in self.vectors)]).astype(np.int32)
         self.vectors = []
         self._forget()
 
-    def _take(self, features_of: list[np.ndarray]) -> None:
-        self.first = np.concatenate(([0], np.cumsum([len(fs) for fs in features_of], dtype=np.int64))).astype(np.int64)
-        self.feature = np.concatenate([np.zeros(0, np.int32), *features_of]).astype(np.int32)
-
-    def learn(self, labels: list[int], ids: list, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Take examples as features and how often each occurs; their weights are worked out where they are needed."""
-        self.labels, self.ids, self.value = np.array(labels, dtype=np.float64), ids, None
-        self._take([fs for fs, _ in rows])
-        times = np.concatenate([np.zeros(0, np.int32), *(ns for _, ns in rows)])
-        self.times = times.astype(np.uint16 if times.max(initial=0) < 1 << 16 else np.uint32)
+    def learn(self, labels: list[int], ids: list, codes: list[bytes]) -> None:
+        """Take examples as codes of their features; their weights are worked out where they are needed."""
+        self.labels, self.ids, self.codes = np.array(labels, dtype=np.float64), ids, codes
+        self.first = self.feature = self.times = self.value = None
         self._forget()
 
+    def _read_codes(self) -> None:
+        """Features of the examples, and how often each occurs, in arrays of just their size."""
+        self.first = np.concatenate(([0], np.cumsum([_coded_size(x) for x in self.codes], dtype=np.int64))).astype(np.int64)
+        self.feature, times = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.uint32)
+        for e, x in enumerate(self.codes):
+            span = slice(self.first[e], self.first[e + 1])
+            self.feature[span], times[span] = _decode(x)
+        self.times = times.astype(np.uint16) if times.max(initial=0) < 1 << 16 else times
+        if self.sent:  # nobody sends it on
+            self.codes = None
+
     def _forget(self) -> None:
         self.at = self.starts = None
+        self.sent = False
         self.cache: dict = {}
         self.read = self.seen = 0
 
     def __getstate__(self) -> dict:
         """What is broadcast, small; each reader makes its own lists."""
-        state = {k: getattr(self, k) for k in ("idf", "labels", "ids", "blank", "steps", "first", "value")}
-        step = np.diff(self.feature, prepend=np.int32(0))
-        return state | {k: _pack(x) for k, x in (("step", step), ("times", self.times))} | {"words": _pack(np.frombuffer(b"\n".join(self.vocab), np.uint8)), "n_words": len(self.vocab)}
+        learnt = ("codes",) if self.codes is not None else ("first", "feature", "value")
+        return {k: getattr(self, k) for k in ("packed", "idf", "labels", "ids", "blank", "steps", *learnt)}
 
     def __setstate__(self, state: dict) -> None:
-        self.packed = state.pop("words"), state.pop("n_words")
-        self.feature = np.cumsum(_unpack(state.pop("step")), dtype=np.int32)
-        self.times = _unpack(state.pop("times"))
+        self.codes = self.times = self.value = None
         self.vectors = []
         self.__dict__.update(state)
         self._forget()
+        self.sent = True
 
     def __getattr__(self, name: str):
-        """The vocabulary of a model that was sent is made where a text is looked up, and nowhere else."""
+        """The vocabulary is made where a text is looked up, and nowhere else."""
         if name == "vocab" and "packed" in self.__dict__:
             words, n = self.packed
             self.vocab = {w: i for i, w in enumerate(_unpack(words).tobytes().split(b"\n"))} if n else {}
@@ -210,6 +233,8 @@ class Model:
     def _index(self) -> None:
         """Matrix of the most frequent features, lists of the others; made from a few hundred examples at a time."""
         n, v = len(self.labels), len(self.idf)
+        if self.codes is not None:
+            self._read_codes()
         parts = [(e, min(e + CHUNK, n)) for e in range(0, n, CHUNK)]
         self.logs = None if self.times is None else np.concatenate(([0.0], 1 + np.log(np.arange(1, 1 + int(self.times.max(initial=0))))))
         self.df = sum((np.bincount(self.feature[self.first[a] : self.first[b]], minlength=v) for a, b in parts), np.zeros(v, dtype=np.int64))
@@ -422,8 +447,8 @@ def _counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
 
 
-def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[bytes], np.ndarray]:
-    """All words, and the beginnings with evidence; and the share of the full weight that each has."""
+def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[tuple, np.ndarray]:
+    """All words, and the beginnings with evidence, packed; and the share of the full weight that each has."""
     a, c = F.col("n_toxic").cast("double"), F.col("n_clean").cast("double")
     rate = (a + c) / F.lit(float(n_toxic + n_clean))
     part = lambda x, n: F.when(x > 0, x * F.ln(x / (F.lit(float(n)) * n_of))).otherwise(0.0)
@@ -435,25 +460,23 @@ def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[byt
     rows = counts.select("feature", F.when(for_toxic, ratio).otherwise(0.0).alias("g2"))
     word = F.substring(F.col("feature"), 1, 1) != F.lit(b"^")
     found = rows.filter(word | (F.col("g2") >= MIN_EVIDENCE)).toArrow().sort_by("feature")
-    vocab, g2 = found["feature"].to_pylist(), found["g2"].to_numpy()
+    names, g2 = found["feature"].combine_chunks(), found["g2"].to_numpy()
     share = g2 * g2 / (g2 * g2 + MIN_EVIDENCE**2)
-    plain = np.array([0.0 if x[:1] == b"^" else PLAIN for x in vocab])
-    return vocab, plain + (1 - plain) * share
+    plain = np.where(pc.starts_with(names, b"^").to_numpy(zero_copy_only=False), 0.0, PLAIN)
+    return _packed(names), plain + (1 - plain) * share
 
 
-def _coded(docs: DataFrame, vocab: dict[bytes, int], code: str = "code") -> DataFrame:
-    """``docs`` with the features of every text in a binary column ``code`` (empty where a text has none)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    at, names = docs.columns.index("text"), [*docs.columns, code]
+def _coded(docs: DataFrame, shared, columns: tuple, code: str = "code") -> DataFrame:
+    """``columns`` of ``docs``, and the features of every text, in the vocabulary of a ``shared`` model, in a binary column ``code`` (empty where a text has none)."""
+    own, at = [docs.columns.index(c) for c in columns], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        starts = _starts(known)
+        m = shared.value
         for batch in batches:
-            codes = [_code(*_occurrences(features(x), known, starts)) for x in utf8(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], names)
+            codes = [_code(*m.occurrences(features(x))) for x in utf8(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(codes, pa.binary())], [*columns, code])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(code, BinaryType())]))
+    return docs.mapInArrow(run, StructType([*(docs.schema.fields[i] for i in own), StructField(code, BinaryType())]))
 
 
 def _document_frequency(coded: DataFrame, code: str, size: int) -> tuple[np.ndarray, int]:
@@ -502,7 +525,8 @@ def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, c
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select(F.col("doc_id").alias("label_id"), "toxic").collect()
     if not chosen:
-        return Model({}, np.zeros(0), np.zeros(0), [], []), _coded(docs, {}, code).select(*(F.col(f"`{c}`") for c in (*columns, code)))
+        none = Model({}, np.zeros(0), np.zeros(0), [], [])
+        return none, _coded(docs, spark.sparkContext.broadcast(none), columns, code)
     # at most max_examples rows, so that they may be broadcast
     ids = spark.createDataFrame([tuple(r) for r in chosen], f"label_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int")
     base = docs.select("doc_id", "text")
@@ -517,28 +541,18 @@ def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, c
     totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     names, share = _vocabulary(_counts(sample), n_toxic, n_clean)
-    vocab = {w: i for i, w in enumerate(names)}
+    shared = spark.sparkContext.broadcast(Model(names, np.zeros(0), np.zeros(0), [], []))
     wanted = docs if "text" in columns else docs.select("doc_id", "text")
-    coded = store(_coded(wanted, vocab, code).select(*(F.col(f"`{c}`") for c in (*columns, code))), "toxicity-codes")
-    df, n_docs = _document_frequency(coded, code, len(vocab))
-    model = Model(vocab, (np.log((1 + n_docs) / (1 + df)) + 1) * share, np.zeros(0), [], [])
-    shared = spark.sparkContext.broadcast(model)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            vs = [m.occurrences(features(x)) for x in utf8(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([v[i].astype("<i4").tobytes() for v in vs], pa.binary()) for i in (0, 1))], ["doc_id", "toxic", "fs", "ns"])
-
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, fs binary, ns binary").toArrow().sort_by("doc_id")
+    coded = store(_coded(wanted, shared, columns, code), "toxicity-codes")
+    df, n_docs = _document_frequency(coded, code, len(share))
+    rows = _coded(sample, shared, ("doc_id", "toxic")).toArrow().sort_by("doc_id")
     shared.destroy()
-    ids, toxic = rows["doc_id"].to_pylist(), rows["toxic"].to_pylist()
-    pairs = [(np.frombuffer(f.as_buffer(), "<i4"), np.frombuffer(n.as_buffer(), "<i4")) for f, n in zip(rows["fs"], rows["ns"], strict=True)]
-    blank = [y for y, (fs, _) in zip(toxic, pairs, strict=True) if not len(fs)]
-    full = [e for e, (fs, _) in enumerate(pairs) if len(fs)]
-    model.blank = (sum(blank) + 0.1) / (len(blank) + 1)
-    model.learn([toxic[e] for e in full], [ids[e] for e in full], [pairs[e] for e in full])
-    del rows, pairs
+    ids, toxic, codes = (rows[x].to_pylist() for x in ("doc_id", "toxic", "code"))
+    blank = [y for y, x in zip(toxic, codes, strict=True) if not x]
+    full = [e for e, x in enumerate(codes) if x]
+    model = Model(names, (np.log((1 + n_docs) / (1 + df)) + 1) * share, np.zeros(0), [], [], blank=(sum(blank) + 0.1) / (len(blank) + 1))
+    model.learn([toxic[e] for e in full], [ids[e] for e in full], [codes[e] for e in full])
+    del rows, codes
     shared = spark.sparkContext.broadcast(model)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

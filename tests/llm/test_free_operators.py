@@ -1,5 +1,6 @@
 """Decontamination, neighbours, toxicity, SimHash, packing and the pipeline against plain Python, with edge cases."""
 
+import pickle
 import re
 import zlib
 from itertools import combinations
@@ -501,3 +502,18 @@ def test_stages_and_pipeline(spark, tmp_path):
     assert {r["text"] for r in now.filter("doc_id = 92").collect()} <= {clean[1] + " [EMAIL]"}
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == left["pii"]
+
+
+def test_the_driver_holds_words_and_examples_packed(spark, toxic_world):
+    texts, labels = toxic_world
+    model = toxicity.fit(docs(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    assert "vocab" not in model.__dict__ and model.feature is None and model.times is None
+    sent = pickle.loads(pickle.dumps(pickle.loads(pickle.dumps(model))))
+    assert sent.vocab == model.vocab and len(sent.vocab) == len(sent.idf)
+    sent._index()
+    model._index()
+    assert sent.codes is None and model.codes is not None
+    for e, x in enumerate(model.codes):
+        fs, ns = toxicity._decode(x)
+        span = slice(sent.first[e], sent.first[e + 1])
+        assert (sent.feature[span] == fs).all() and (sent.times[span] == ns).all() and (model.feature[span] == fs).all()
