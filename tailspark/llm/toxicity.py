@@ -23,6 +23,7 @@ shuffled but counts.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -52,6 +53,10 @@ HEAD, QUERIES, MARGIN = 512, 128, 1e-4
 BLOCK, ROUNDS = 128, (1, 8)
 #: Groups of like examples, and rounds of moving examples between them.
 GROUPS, MOVES = 32, 3
+#: Postings of rare features that are read at a time.
+READ = 1 << 16
+#: Place of the upper half of a 64-bit number among its halves.
+_UPPER = int(sys.byteorder == "little")
 #: Examples at a time while the lists are made.
 CHUNK = 500
 #: Entries that a Python worker remembers: scores, counts, occurrences.
@@ -74,11 +79,20 @@ def _starts(vocab: dict[bytes, int]) -> set[bytes]:
     return {x[1 : 1 + _BEGINNINGS[0]] for x in vocab if x[:1] == b"^"}
 
 
-def _beginnings(word: bytes, vocab: dict[bytes, int]) -> list[int]:
-    return [f for x in expand(word)[1:] if (f := vocab.get(x)) is not None]
+class _Beginnings(dict):
+    """Numbers of the beginnings of words, remembered."""
 
+    def __init__(self, vocab: dict[bytes, int]) -> None:
+        self.vocab = vocab
 
-def _occurrences(counts: Counter, vocab: dict[bytes, int], starts: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) >= FLUSH:
+            self.clear()
+        found = self[word] = [f for x in expand(word)[1:] if (f := self.vocab.get(x)) is not None]
+        return found
+
+
+def _occurrences(counts: Counter, vocab: dict[bytes, int], starts: set[bytes], beginnings: _Beginnings) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the features of a text in order, and how often each occurs."""
     fs = np.fromiter(map(vocab.get, counts, repeat(-1)), np.int64, len(counts))
     ns = np.fromiter(counts.values(), np.int64, len(counts))
@@ -87,7 +101,7 @@ def _occurrences(counts: Counter, vocab: dict[bytes, int], starts: set[bytes]) -
     if starts:
         cut, more = _BEGINNINGS[0], {}
         for word in [w for w in counts if w[:cut] in starts]:
-            for f in _beginnings(word, vocab):
+            for f in beginnings[word]:
                 more[f] = more.get(f, 0) + counts[word]
         fs, ns = np.concatenate((fs, np.fromiter(more, np.int64, len(more)))), np.concatenate((ns, np.fromiter(more.values(), np.int64, len(more))))
     order = np.argsort(fs)
@@ -261,8 +275,9 @@ class Model:
         self.head = np.zeros((blocks, BLOCK, len(often)), dtype=np.float32)
         flat = self.head.reshape(blocks * BLOCK, len(often))
         self.spot = spot
-        # a posting is the example's spot and, in the upper half, the bits of its weight
-        self.posting = np.zeros(self.at[-1], dtype=np.uint64)
+        # a posting is the example's spot and, in the upper half, the bits of its weight (never negative)
+        self.posting = np.zeros(self.at[-1], dtype=np.int64)
+        self.buffer = np.zeros(max(READ, int(rare.max(initial=0))), dtype=np.int64)
         free = self.at[:-1].copy()
         for a, b in parts:
             span = slice(self.first[a], self.first[b])
@@ -274,7 +289,7 @@ class Model:
             ws = ws[rest]
             kinds, begin, sizes = np.unique(fs[rest], return_index=True, return_counts=True)
             to = np.arange(len(rest)) + np.repeat(free[kinds] - begin, sizes)
-            self.posting[to] = ws.view(np.uint32).astype(np.uint64) << 32 | spot[own[rest]].astype(np.uint64)
+            self.posting[to] = ws.view(np.uint32).astype(np.int64) << 32 | spot[own[rest]]
             free[kinds] += sizes
         self.top = self.head.max(axis=1) if blocks else np.zeros((0, len(often)), dtype=np.float32)
 
@@ -285,8 +300,8 @@ class Model:
     def occurrences(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers in order, and how often each occurs."""
         if self.starts is None:
-            self.starts = _starts(self.vocab)
-        return _occurrences(counts, self.vocab, self.starts)
+            self.starts, self.beginnings = _starts(self.vocab), _Beginnings(self.vocab)
+        return _occurrences(counts, self.vocab, self.starts, self.beginnings)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector over the vocabulary: feature numbers in order, and weights."""
@@ -313,17 +328,17 @@ class Model:
             row[own[own >= 0]] = ws[own >= 0]
             lists = np.flatnonzero((own < 0) & (size > 0))
             if len(lists):
-                begin, size = begin[lists], size[lists]
-                found = np.concatenate([self.posting[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]).view(np.uint32).reshape(-1, 2)
-                near += np.bincount(found[:, 0], weights=found[:, 1].view(np.float32) * np.repeat(ws[lists].astype(np.float32), size), minlength=len(near))
+                self._add_rare(near, begin[lists], size[lists], ws[lists])
             near[n:] = -4.0
             if skip >= 0:
                 near[self.spot[skip]] = -4.0
-        self._add_head(rows, about, k)
+        enough = self._add_head(rows, about, k)
         out = []
-        for near, (fs, ws) in zip(about, queries, strict=True):
-            least = float(np.partition(near, len(near) - k)[len(near) - k]) - MARGIN if n > k else 0.0
-            some = np.sort(self.order[np.flatnonzero(near[:n] >= least if least > 0 else near[:n] > 0)])
+        for near, low, (fs, ws) in zip(about, enough.tolist(), queries, strict=True):
+            some = np.flatnonzero(near[:n] >= low - MARGIN)
+            sums = near[some]
+            least = float(np.partition(sums, len(sums) - k)[len(sums) - k]) - MARGIN if len(sums) > k else 0.0
+            some = np.sort(self.order[some[sums >= least if least > 0 else sums > 0]])
             if not len(some):
                 out.append((some, np.zeros(0)))
                 continue
@@ -331,14 +346,34 @@ class Model:
             sizes = self.first[some + 1] - self.first[some]
             heads = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             at = np.repeat(self.first[some] - heads, sizes) + np.arange(int(sizes.sum()))
-            exact = np.add.reduceat(self._weights(at) * self.scratch[self.feature[at]], heads) / self.norm[some]
+            terms = self.scratch[self.feature[at]]
+            both = np.flatnonzero(terms)
+            terms[both] *= self._weights(at[both])
+            exact = np.add.reduceat(terms, heads) / self.norm[some]
             self.scratch[fs] = 0
             top = np.lexsort((some, -exact))[:k]
             out.append((some[top], exact[top]))
         return out
 
-    def _add_head(self, rows: np.ndarray, about: np.ndarray, k: int) -> None:
-        """Add the cosines' part from frequent features, of those blocks that may hold one of the k nearest."""
+    def _add_rare(self, near: np.ndarray, begin: np.ndarray, size: np.ndarray, ws: np.ndarray) -> None:
+        """Add the cosines' part from rare features, whose lists are read through a buffer that stays in the cache."""
+        ends, done = np.cumsum(size), 0
+        spans = list(zip(begin.tolist(), (begin + size).tolist(), strict=True))
+        while done < len(spans):
+            before = int(ends[done - 1]) if done else 0
+            to = max(done + 1, int(np.searchsorted(ends, before + READ, "right")))
+            found = np.concatenate([self.posting[a:b] for a, b in spans[done:to]], out=self.buffer[: int(ends[to - 1]) - before])
+            weights = np.repeat(ws[done:to], size[done:to])
+            weights *= found.view(np.float32)[_UPPER::2]
+            found &= 0xFFFFFFFF
+            near += np.bincount(found, weights=weights, minlength=len(near))
+            done = to
+
+    def _add_head(self, rows: np.ndarray, about: np.ndarray, k: int) -> np.ndarray:
+        """Add the cosines' part from frequent features, of those blocks that may hold one of the k nearest.
+
+        Returns a bound for each row that its k-th best cosine reaches.
+        """
         cells = about.reshape(len(about), -1, BLOCK)
         bound = rows @ self.top.T + cells.max(axis=2) + MARGIN
         todo = np.argsort(-bound, axis=1, kind="stable")
@@ -360,6 +395,7 @@ class Model:
             if best.shape[1] > k:  # no sum so far is more than its cosine
                 least = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
         self.seen += bound.size
+        return least
 
     def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """Similarity-weighted share of label 1 among the neighbours, shrunk by one blank vote, and the neighbours."""
@@ -448,7 +484,10 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[tuple, np.ndarray]:
-    """All words, and the beginnings with evidence, packed; and the share of the full weight that each has."""
+    """All words, and the beginnings with evidence, packed; and the share of the full weight that each has.
+
+    The most frequent come first, so that what most texts look up lies close together in memory.
+    """
     a, c = F.col("n_toxic").cast("double"), F.col("n_clean").cast("double")
     rate = (a + c) / F.lit(float(n_toxic + n_clean))
     part = lambda x, n: F.when(x > 0, x * F.ln(x / (F.lit(float(n)) * n_of))).otherwise(0.0)
@@ -457,9 +496,9 @@ def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[tuple, n
     off = lambda x, n: F.when(F.lit(float(n)) > x, (F.lit(float(n)) - x) * F.ln((F.lit(float(n)) - x) / (F.lit(float(n)) * absent))).otherwise(0.0)
     ratio = 2 * (part(a, n_toxic) + part(c, n_clean) + off(a, n_toxic) + off(c, n_clean))
     for_toxic = (a * float(n_clean) > c * float(n_toxic)) & (rate < 1)
-    rows = counts.select("feature", F.when(for_toxic, ratio).otherwise(0.0).alias("g2"))
+    rows = counts.select("feature", (F.col("n_toxic") + F.col("n_clean")).alias("n"), F.when(for_toxic, ratio).otherwise(0.0).alias("g2"))
     word = F.substring(F.col("feature"), 1, 1) != F.lit(b"^")
-    found = rows.filter(word | (F.col("g2") >= MIN_EVIDENCE)).toArrow().sort_by("feature")
+    found = rows.filter(word | (F.col("g2") >= MIN_EVIDENCE)).toArrow().sort_by([("n", "descending"), ("feature", "ascending")])
     names, g2 = found["feature"].combine_chunks(), found["g2"].to_numpy()
     share = g2 * g2 / (g2 * g2 + MIN_EVIDENCE**2)
     plain = np.where(pc.starts_with(names, b"^").to_numpy(zero_copy_only=False), 0.0, PLAIN)
@@ -515,18 +554,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     texts without words; long ones are read whole.  Without usable labels, or with empty
     tables, every score is 0.  Other columns are ignored, whatever their names.
     """
-    return _fit(docs, labels, max_examples)[0]
+    model, _, shared = _fit(docs, labels, max_examples)
+    shared.destroy()
+    return model
 
 
-def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, columns: tuple = ("doc_id",), code: str = "code") -> tuple[Model, DataFrame]:
-    """The model, and the coded documents that its frequencies were counted on: ``columns``, and ``code``."""
+def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, columns: tuple = ("doc_id",), code: str = "code") -> tuple:
+    """The model; the coded documents that its frequencies were counted on: ``columns``, and ``code``; and the model as sent, but for its ``steps``."""
     spark = docs.sparkSession
     one_thread_a_task(spark)
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select(F.col("doc_id").alias("label_id"), "toxic").collect()
     if not chosen:
         none = Model({}, np.zeros(0), np.zeros(0), [], [])
-        return none, _coded(docs, spark.sparkContext.broadcast(none), columns, code)
+        shared = spark.sparkContext.broadcast(none)
+        return none, _coded(docs, shared, columns, code), shared
     # at most max_examples rows, so that they may be broadcast
     ids = spark.createDataFrame([tuple(r) for r in chosen], f"label_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int")
     base = docs.select("doc_id", "text")
@@ -564,8 +606,7 @@ def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, c
     if spread:
         chosen = spark.createDataFrame([(e,) for e in spread], "e long")
         model.calibrate([(r["vote"], float(model.labels[r["e"]])) for r in chosen.mapInArrow(left_out, "e long, vote double").collect()])
-    shared.destroy()
-    return model, coded
+    return model, coded, shared
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -575,15 +616,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     among such examples.  Long texts are read whole, repeated rows are scored each, ids may be
     null and of any type.  Columns other than doc_id and text are ignored.
     """
-    return _scored(docs.select("doc_id", "text"), model, Model.stream)
+    return _scored(docs.select("doc_id", "text"), docs.sparkSession.sparkContext.broadcast(model), model.steps, Model.stream)
 
 
-def _scored(base: DataFrame, model: Model, stream) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast(model)
+def _scored(base: DataFrame, shared, steps: tuple, stream) -> DataFrame:
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        m.steps = steps
         for batch in batches:
             evidence = pa.list_(pa.struct([("doc_id", batch.column(0).type), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             got = list(stream(m, utf8(batch.column(1))))
@@ -617,13 +658,14 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The same as ``drop_toxic`` with ``fit``, but texts are looked up once, and what scores them holds no vocabulary.
     """
     code = free_name("code", docs.columns)
-    model, coded = _fit(docs, labels, columns=tuple(docs.columns), code=code)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    n = len(docs.columns)
+    model, coded, shared = _fit(docs, labels, columns=tuple(docs.columns), code=code)
+    steps, n = model.steps, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        m.steps = steps  # its lists are there since the calibration
         for batch in batches:
-            good = [x < 0.5 for x, _ in shared.value.stream_codes(utf8(batch.column(n)))]
+            good = [x < 0.5 for x, _ in m.stream_codes(utf8(batch.column(n)))]
             yield batch.select(list(range(n))).filter(pa.array(good, pa.bool_()))
 
     return coded.mapInArrow(run, docs.schema)
@@ -631,5 +673,5 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, coded = _fit(docs, table(spark, sf_dir, "labels"))
-    return _scored(coded, model, Model.stream_codes).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+    model, coded, shared = _fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(coded, shared, model.steps, Model.stream_codes).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")

@@ -517,3 +517,37 @@ def test_the_driver_holds_words_and_examples_packed(spark, toxic_world):
         fs, ns = toxicity._decode(x)
         span = slice(sent.first[e], sent.first[e + 1])
         assert (sent.feature[span] == fs).all() and (sent.times[span] == ns).all() and (model.feature[span] == fs).all()
+
+
+def test_lists_of_rare_features_are_read_in_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "READ", 7)
+    rng, n, v = np.random.default_rng(8), 1_500, 900
+    vectors = []
+    for _ in range(n):
+        fs = np.sort(rng.choice(v, rng.integers(2, 40), replace=False))
+        w = rng.random(len(fs))
+        vectors.append((fs, w / np.linalg.norm(w)))
+    m = toxicity.Model({str(i).encode(): i for i in range(v)}, np.ones(v), rng.integers(0, 2, n).astype(float), list(range(n)), vectors)
+    dense = np.zeros((n, v))
+    for i, (fs, w) in enumerate(vectors):
+        dense[i, fs] = w
+    asked = list(range(0, n, 50))
+    for (best, score), i in zip(m.search_all([vectors[i] for i in asked], 15, asked), asked, strict=True):
+        want = dense @ dense[i]
+        want[i] = -1
+        order = np.lexsort((np.arange(n), -want))[:15]
+        assert best.tolist() == order.tolist() and np.allclose(score, want[order])
+    assert len(m.buffer) < len(m.posting)
+
+
+def test_frequent_words_come_first_and_one_model_is_sent(spark, toxic_world):
+    texts, labels = toxic_world
+    lb = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    model, coded, shared = toxicity._fit(docs(spark, texts), lb)
+    assert len(shared.value.labels) == len(model.labels) and len(model.steps[0])
+    often = np.zeros(len(model.idf), dtype=int)
+    for x in model.codes:
+        often[toxicity._decode(x)[0]] += 1
+    assert (np.diff(often) <= 0).all()
+    scores = {r["doc_id"]: r["score"] for r in toxicity._scored(coded, shared, model.steps, toxicity.Model.stream_codes).collect()}
+    assert scores == {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, texts), model).collect()}
