@@ -59,8 +59,10 @@ READ = 1 << 16
 _UPPER = int(sys.byteorder == "little")
 #: Examples at a time while the lists are made.
 CHUNK = 500
-#: Entries that a Python worker remembers: scores, counts, occurrences.
-CACHED, FLUSH, PENDING = 5_000, 150_000, 1_000_000
+#: Entries that a Python worker remembers: scores, counts, occurrences, words with beginnings.
+CACHED, FLUSH, PENDING, REMEMBERED = 5_000, 150_000, 1_000_000, 20_000
+#: Rows with texts that a Python worker gives back at a time.
+ROWS = 1_024
 _BEGINNINGS = (4, 5, 6, 7)
 
 
@@ -86,7 +88,7 @@ class _Beginnings(dict):
         self.vocab = vocab
 
     def __missing__(self, word: bytes) -> list[int]:
-        if len(self) >= FLUSH:
+        if len(self) >= REMEMBERED:
             self.clear()
         found = self[word] = [f for x in expand(word)[1:] if (f := self.vocab.get(x)) is not None]
         return found
@@ -206,11 +208,13 @@ class Model:
     def _read_codes(self) -> None:
         """Features of the examples, and how often each occurs, in arrays of just their size."""
         self.first = np.concatenate(([0], np.cumsum([_coded_size(x) for x in self.codes], dtype=np.int64))).astype(np.int64)
-        self.feature, times = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.uint32)
+        self.feature, self.times = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.uint16)
         for e, x in enumerate(self.codes):
             span = slice(self.first[e], self.first[e + 1])
-            self.feature[span], times[span] = _decode(x)
-        self.times = times.astype(np.uint16) if times.max(initial=0) < 1 << 16 else times
+            self.feature[span], ns = _decode(x)
+            if self.times.dtype == np.uint16 and ns.max(initial=0) >= 1 << 16:
+                self.times = self.times.astype(np.uint32)
+            self.times[span] = ns
         if self.sent:  # nobody sends it on
             self.codes = None
 
@@ -505,13 +509,19 @@ def _vocabulary(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[tuple, n
     return _packed(names), plain + (1 - plain) * share
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that neither side holds many texts twice."""
+    for batch in batches:
+        yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+
 def _coded(docs: DataFrame, shared, columns: tuple, code: str = "code") -> DataFrame:
     """``columns`` of ``docs``, and the features of every text, in the vocabulary of a ``shared`` model, in a binary column ``code`` (empty where a text has none)."""
     own, at = [docs.columns.index(c) for c in columns], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             codes = [_code(*m.occurrences(features(x))) for x in utf8(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(codes, pa.binary())], [*columns, code])
 
@@ -664,7 +674,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         m.steps = steps  # its lists are there since the calibration
-        for batch in batches:
+        for batch in _slices(batches):
             good = [x < 0.5 for x, _ in m.stream_codes(utf8(batch.column(n)))]
             yield batch.select(list(range(n))).filter(pa.array(good, pa.bool_()))
 
