@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are Python objects at a time.
 SLICE = 256
+#: Bytes of an Arrow batch that Spark hands to a Python worker.
+BATCH_BYTES = 4 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -80,6 +82,13 @@ def one_thread_a_task(spark: SparkSession) -> None:
     spark.sparkContext.environment["OPENBLAS_NUM_THREADS"] = "1"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get batches of ``BATCH_BYTES`` from now on in this session, however long the texts, unless it has a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, led by as many underscores as it takes to clash with none of ``taken``."""
     used = {t.lower() for t in taken}

@@ -20,7 +20,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -81,10 +81,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> PieceEncoder:
-    """One encoder for all tasks of a Python worker."""
-    return PieceEncoder(path, pattern)
+class _Shared:
+    """One encoder for all tasks of a Python worker, made there; sent as a broadcast, it goes when the worker turns to other work."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        self.path, self.pattern = path, pattern
+
+    @cached_property
+    def encoder(self) -> PieceEncoder:
+        return PieceEncoder(self.path, self.pattern)
 
 
 def pieces(docs: DataFrame, tokenizer: str, pattern: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -96,9 +101,10 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, length: int = LENGTH,
     base = docs.select("doc_id", "text")
     kind = base.schema["doc_id"].dataType.simpleString()
     end = np.array([END], dtype="<u4").tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast(_Shared(tokenizer, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer, pattern).encode
+        encode = shared.value.encoder.encode
         for batch in batches:
             row, piece, start, size, crc, ids = [], [], [], [], [], []
             for k, raw in enumerate(utf8(batch.column(1))):

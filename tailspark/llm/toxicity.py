@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tailspark.llm.common import WORD_TABLE, free_name, one_thread_a_task, settle, store, table, utf8
+from tailspark.llm.common import WORD_TABLE, free_name, one_thread_a_task, settle, small_batches, store, table, utf8
 
 #: Bound on the labelled rows that the classifier is fitted on.
 MAX_EXAMPLES = 20_000
@@ -573,21 +573,21 @@ def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, c
     """The model; the coded documents that its frequencies were counted on: ``columns``, and ``code``; and the model as sent, but for its ``steps``."""
     spark = docs.sparkSession
     one_thread_a_task(spark)
+    small_batches(spark)
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select(F.col("doc_id").alias("label_id"), "toxic").collect()
-    if not chosen:
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select(F.col("doc_id").alias("label_id"), "toxic").toArrow()
+    if not chosen.num_rows:
         none = Model({}, np.zeros(0), np.zeros(0), [], [])
         shared = spark.sparkContext.broadcast(none)
         return none, _coded(docs, shared, columns, code), shared
-    # at most max_examples rows, so that they may be broadcast
-    ids = spark.createDataFrame([tuple(r) for r in chosen], f"label_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int")
+    # at most max_examples rows, so that they may be broadcast; Arrow tables take no Python workers, as lists would
+    ids = spark.createDataFrame(chosen)
     base = docs.select("doc_id", "text")
     sample = settle(base.join(F.broadcast(ids), base["doc_id"] == ids["label_id"]).select("doc_id", "text", "toxic"))
 
-    kind = base.schema["doc_id"].dataType.simpleString()
     # equal texts (by SHA-256) of one label count once: the row of least doc_id
-    kept = sample.groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id").collect()
-    keep = spark.createDataFrame([(x,) for x in sorted({r["doc_id"] for r in kept})], f"kept_id {kind}")
+    kept = sample.groupBy(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "toxic").agg(F.min("doc_id").alias("kept_id")).select("kept_id").toArrow()
+    keep = spark.createDataFrame(kept)
     least = sample.join(F.broadcast(keep), sample["doc_id"] == keep["kept_id"], "left_semi").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sample = settle(least.select("doc_id", "text", "toxic"))
     totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
@@ -614,7 +614,7 @@ def _fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, c
     n = len(full)
     spread = np.unique(np.linspace(0, n - 1, min(MAX_CALIBRATION, n)).astype(int)).tolist() if n else []
     if spread:
-        chosen = spark.createDataFrame([(e,) for e in spread], "e long")
+        chosen = spark.createDataFrame(pa.table({"e": pa.array(spread, pa.int64())}))
         model.calibrate([(r["vote"], float(model.labels[r["e"]])) for r in chosen.mapInArrow(left_out, "e long, vote double").collect()])
     return model, coded, shared
 

@@ -6,12 +6,13 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tailspark.llm import decontamination, neighbours, packing, simhash, toxicity
+from tailspark.llm import common, decontamination, neighbours, packing, simhash, toxicity
 
 RNG = np.random.default_rng(5)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -551,3 +552,47 @@ def test_frequent_words_come_first_and_one_model_is_sent(spark, toxic_world):
     assert (np.diff(often) <= 0).all()
     scores = {r["doc_id"]: r["score"] for r in toxicity._scored(coded, shared, model.steps, toxicity.Model.stream_codes).collect()}
     assert scores == {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, texts), model).collect()}
+
+
+def test_tables_of_ids_need_no_python_workers(spark, toxic_world, monkeypatch):
+    texts, labels = toxic_world
+    d, lb = docs(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    d.count(), lb.count()
+
+    def refuse(*_args, **_kw):
+        raise AssertionError("a list went through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert len(toxicity.fit(d, lb).labels)
+
+
+def test_workers_get_long_texts_in_small_batches(spark, toxic_world):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts, labels = toxic_world
+    d, lb = docs(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    long = spark.range(0, 3_000, 1, 1).selectExpr("id doc_id", "repeat('word ', 2000) text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    spark.conf.unset(key)
+    toxicity.fit(d, lb)
+    found = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 30_000_000 and max(found) < 1.1 * common.BATCH_BYTES
+    spark.conf.set(key, "1m")  # a size that the session has of its own stays
+    toxicity.fit(d, lb)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+
+def test_workers_drop_the_tokenizer_for_other_work(spark):
+    def held(batches):
+        import gc
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "PieceEncoder" for x in gc.get_objects())])], ["n"])
+
+    d = docs(spark, [f"text {i}" for i in range(200)]).repartition(8)
+    assert packing.pack_documents(d).count() == 200
+    assert {r["n"] for r in spark.range(0, 80, 1, 8).mapInArrow(held, "n long").collect()} == {0}
